@@ -10,6 +10,11 @@ MODULES = {
     "op2_token_store": "token_store",
     "op3_toxicity": "toxicity",
     "op4_simhash_dedup": "simhash",
+    "op5_warc": "warc",
+    "op6_media": "media",
+    "op7_chat": "chat",
+    "op8_secrets": "secret_scan",
+    "op9_token_counts": "wordpiece",
     "op10_mix": "mixing",
 }
 
