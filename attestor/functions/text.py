@@ -27,7 +27,7 @@ def split_flags(x: Column) -> Column:
 def normalize_flags(x: Column) -> Column:
     """Flags sorted and pipe-joined, repeats kept; 'none' for what stands for nothing."""
     raw = normalize(x)
-    parts = F.filter(F.transform(F.split(raw, r"\|"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(raw, r"\|"), lambda p: F.trim(p)), lambda p: p != "")
     return F.when(raw.isin("", "none", "null", "unknown"), "none").otherwise(F.array_join(F.array_sort(parts), "|"))
 
 

@@ -96,7 +96,7 @@ def fit_isotonic(samples: DataFrame, signal: str = "raw_signal", correct: str =
     blocks: list[list] = []
     for r in rows:  # pool neighbours until means ascend
         blocks.append([r["x"], r["c"], r["n"]])
-        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] > blocks[-1][1] * blocks[-2][2]:
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
             _, c, n = blocks.pop()
             blocks[-1][1] += c
             blocks[-1][2] += n

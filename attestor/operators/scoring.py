@@ -41,7 +41,7 @@ def score_cases(truth: DataFrame, pred: DataFrame) -> DataFrame:
     """A row for each truth case; truth has the fields, adjudication and unrecoverable_fields (pipe-joined), pred the fields, adjudication and confidence."""
     p = pred.select(F.col("case_id").alias("_id"), *[F.col(c).alias(f"p_{c}") for c in [*vocab.OUTPUT_FIELDS, "adjudication", "confidence"]])
     rows = truth.join(p, truth["case_id"] == F.col("_id"), "left").withColumn("present", F.col("_id").isNotNull())
-    lost = F.transform(F.split(normalize(F.col("unrecoverable_fields")), r"\|"), F.trim)
+    lost = F.transform(F.split(normalize(F.col("unrecoverable_fields")), r"\|"), lambda p: F.trim(p))
     scorable = {f: ~F.array_contains(lost, f) for f in vocab.OUTPUT_FIELDS}
     hit = {f: scorable[f] & F.col("present") & matched(f, F.col(f), F.col(f"p_{f}")) for f in vocab.OUTPUT_FIELDS}
     add = lambda conds: reduce(lambda a, b: a + b, [F.when(F.coalesce(c, F.lit(False)), vocab.FIELD_WEIGHTS[f]).otherwise(0) for f, c in conds.items()])
@@ -94,7 +94,7 @@ def field_rates(truth: DataFrame, pred: DataFrame) -> DataFrame:
     """Matched and scorable cases of each field, from one pass: counts side by side, then turned to rows."""
     p = pred.select(F.col("case_id").alias("_id"), *[F.col(c).alias(f"p_{c}") for c in vocab.OUTPUT_FIELDS])
     rows = truth.join(p, truth["case_id"] == F.col("_id"), "left")
-    lost = F.transform(F.split(normalize(F.col("unrecoverable_fields")), r"\|"), F.trim)
+    lost = F.transform(F.split(normalize(F.col("unrecoverable_fields")), r"\|"), lambda p: F.trim(p))
     aggs = []
     for f in vocab.OUTPUT_FIELDS:
         ok = ~F.array_contains(lost, f)
