@@ -156,7 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return ids.orderBy("_order", "_id").limit(most)
 
     def texts(ids: DataFrame, *more: str) -> list:
-        return rows.dropDuplicates(["_id"]).join(F.broadcast(ids.select(F.col("_id").alias("_k"), *more)), F.col("_id") == F.col("_k")).orderBy("_order", "_id").select("_text", *more).collect()
+        few = rows.join(F.broadcast(ids.select(F.col("_id").alias("_k"), *more)), F.col("_id") == F.col("_k"))
+        return few.dropDuplicates(["_id"]).orderBy("_order", "_id").select("_text", *more).collect()
 
     learn = F.col("_fold") != CALIBRATES
     positives = [r[0] for r in texts(least(marked.filter(learn & (F.col("_y") == 1)), POSITIVES))]
