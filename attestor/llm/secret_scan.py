@@ -26,8 +26,12 @@ CLASSES = "0" + LOWER + UPPER + "0123456789" + "+/_=-"
 SIZE = len(CLASSES)
 #: Most documents that ordinary identifiers are sampled from, by least hash, and the number of random strings of each alphabet.
 SAMPLE_DOCS, SAMPLE_RANDOM = 2_000, 1_000
-IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_-]{7,}"
+#: What counts as an ordinary identifier: parts of letters, each in lower case or with a capital, or all in capitals; few digits, at the end.
+IDENTIFIER = r"(?<![A-Za-z0-9_-])(?:[A-Za-z]?[a-z]+(?:[_-][A-Za-z]?[a-z]+|[A-Z][a-z]+)*|[A-Z]{2,}(?:_[A-Z]{2,})+)[0-9]{0,4}(?![A-Za-z0-9_-])"
+IDENTIFIER_LENGTH = 8
 THRESHOLD = 12.0
+#: Weight of a class's own frequency against the pairs seen.
+BACK_OFF = 20.0
 
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
@@ -76,24 +80,29 @@ def identifier_samples(docs: DataFrame, text_col: str = "text", most: int = SAMP
     hashed = rows.select(F.xxhash64("t").alias("h")).distinct().orderBy("h").limit(most)
     rows = rows.withColumn("h", F.xxhash64("t")).join(F.broadcast(hashed), "h").dropDuplicates(["h"])
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("t"), ASSIGN, " "), ACCESS, " "), HEX, " ")
-    return rows.select(F.explode(F.regexp_extract_all(clean, F.lit(IDENTIFIER), F.lit(0))).alias("word"))
+    return rows.select(F.explode_outer(F.regexp_extract_all(clean, F.lit(IDENTIFIER), F.lit(0))).alias("word")).filter(F.char_length("word") >= IDENTIFIER_LENGTH)
 
 
 def train(random: DataFrame, ordinary: DataFrame) -> list[float]:
-    """Log-likelihood ratio of each pair of classes (a * SIZE + b), add-one smoothed; at most SIZE * SIZE counts come to the driver."""
+    """Log-likelihood ratio of each pair of classes (a * SIZE + b), smoothed; at most SIZE * SIZE counts come to the driver."""
     counted = []
     for words in (random, ordinary):
         pairs = words.select(_classes(F.col("word")).alias("c")).select(
             F.explode_outer(F.when(F.size("c") > 1, F.transform(F.sequence(F.lit(0), F.size("c") - 2), lambda i: F.get("c", i) * SIZE + F.get("c", i + 1)))).alias("p")
         )
         counted.append({r["p"]: r["count"] for r in pairs.filter("p is not null").groupBy("p").count().collect()})
-    out = [[0.0] * (SIZE * SIZE) for _ in counted]
-    for n, table_ in zip(counted, out, strict=True):
-        for a in range(SIZE):
-            total = sum(n.get(a * SIZE + b, 0) for b in range(SIZE)) + SIZE
-            for b in range(SIZE):
-                table_[a * SIZE + b] = math.log((n.get(a * SIZE + b, 0) + 1) / total)
-    return [round(x - y, 4) for x, y in zip(*out, strict=True)]
+    return [round(x - y, 4) for x, y in zip(*map(_log_chances, counted), strict=True)]
+
+
+def _log_chances(pairs: dict) -> list[float]:
+    """Log chance of each class after each other; a pair seen seldom or never goes by how frequent its second class is."""
+    after = [sum(pairs.get(a * SIZE + b, 0) for a in range(SIZE)) for b in range(SIZE)]
+    base = [(n + 0.1) / (sum(after) + 0.1 * SIZE) for n in after]
+    out = []
+    for a in range(SIZE):
+        total = sum(pairs.get(a * SIZE + b, 0) for b in range(SIZE))
+        out += [math.log((pairs.get(a * SIZE + b, 0) + BACK_OFF * base[b]) / (total + BACK_OFF)) for b in range(SIZE)]
+    return out
 
 
 def ratio(word: Column, model: list[float]) -> Column:
