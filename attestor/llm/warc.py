@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789abcdefghijklmnopqrstuv", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, target: int = TARGET) -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, target: int = TARGET, compression: str = "gzip") -> None:
     """A record per row.  Of equal payloads of least_bytes or more, that of the least id is a response, the others revisit it.
 
     Null payloads are empty; a null id is written as such, and is a response
@@ -66,7 +67,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.concat(F.lit("Content-Length: "), (F.lit(len(HTTP)) + F.when(revisit, 0).otherwise(F.col("n"))).cast("string")),
     ]
     record = F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n" + HTTP), F.when(revisit, "").otherwise(F.col("payload")), F.lit("\r\n\r"))
-    rows.select(record.alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", per_file).text(path)
+    rows.select(record.alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", per_file).option("compression", compression).text(path)
 
 
 def candidates(data: bytes) -> tuple[np.ndarray, np.ndarray, list]:
@@ -100,6 +101,19 @@ def reachable(at: np.ndarray, after: np.ndarray, size: int) -> np.ndarray:
     return on[:n]
 
 
+def unzipped(data) -> bytes:
+    """An archive's records; a compressed one may have a member for each record or one for all."""
+    data = memoryview(data)
+    if bytes(data[:2]) != b"\x1f\x8b":
+        return bytes(data)
+    out = []
+    while len(data):
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(data))
+        data = memoryview(member.unused_data)
+    return b"".join(out)
+
+
 def _number(urn: bytes) -> int | None:
     digits = urn.strip(b"<>").rpartition(b":")[2]
     return int(digits) if digits.lstrip(b"-").isdigit() else None
@@ -110,7 +124,7 @@ def _reading(with_payload: bool):
         schema = pa.schema([("id", pa.int64()), ("uri", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
         for batch in batches:
             for cell in batch.column("content"):
-                data = cell.as_buffer().to_pybytes() if cell.is_valid else b""
+                data = unzipped(cell.as_buffer()) if cell.is_valid else b""
                 at, after, headers = candidates(data)
                 out = []
                 for i in np.nonzero(reachable(at, after, len(data)))[0].tolist():
