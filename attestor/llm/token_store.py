@@ -55,7 +55,9 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room = Tokenizer.from_str(spec), cache
-        self.cached: dict[str, np.ndarray] = {}
+        # ids of remembered chunks one after another, and for each its place and number of ids
+        self.slots: dict[str, int] = {}
+        self.ids, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one text after another, and where each text begins (one more at the end)."""
@@ -66,37 +68,46 @@ class ChunkEncoder:
         plain = pc.and_(pc.string_is_ascii(distinct), pc.invert(pc.match_substring(distinct, "<")))
         folded = pc.if_else(plain, pc.ascii_lower(distinct), distinct).dictionary_encode()
         codes = folded.indices.to_numpy().astype(np.int64)[codes]
-        parts = self._ids(folded.dictionary.to_pylist())
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        flat = np.concatenate(parts) if len(parts) else np.zeros(0, np.int32)
+        starts, lengths, flat = self._look_up(folded.dictionary.to_pylist())
         ids, begins = gather(starts, lengths, flat, codes)
         return ids, begins[rows]
 
-    def _ids(self, chunks: list[str]) -> list[np.ndarray]:
-        out = [self.cached.get(c) for c in chunks]
-        missing = [i for i, x in enumerate(out) if x is None]
-        for a in range(0, len(missing), 100_000):
-            self._fill(chunks, missing[a : a + 100_000], out)
-        for i in missing[: max(0, self.room - len(self.cached))]:
-            self.cached[chunks[i]] = out[i].copy()
-        return out
-
-    def _fill(self, chunks: list[str], missing: list[int], out: list) -> None:
-        """Chunks joined by spaces, 400 in a string; a token belongs to the chunk in which it starts."""
-        groups = [missing[i : i + 400] for i in range(0, len(missing), 400)]
-        joined = [" ".join(chunks[i] for i in g) for g in groups]
-        for g, text, e in zip(groups, joined, self.tokenizer.encode_batch(joined, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, np.int32)
-            at = np.array([o[0] for o in e.offsets], np.int64)
-            ends = np.cumsum(np.fromiter((len(chunks[i]) + 1 for i in g), np.int64, len(g)))
-            cuts = np.searchsorted(at, ends[:-1], "left")
-            if len(ids) and (np.diff(at) < 0).any():  # offsets out of order: one by one
-                parts = [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch([chunks[i] for i in g], add_special_tokens=False)]
-            else:
-                parts = np.split(ids, cuts)
-            for i, x in zip(g, parts, strict=True):
-                out[i] = x
+    def _look_up(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each chunk the place and number of its ids in an array of ids; new chunks are remembered while there is room."""
+        get = self.slots.get
+        slot = np.fromiter((get(c, -1) for c in chunks), np.int64, len(chunks))
+        missing = np.nonzero(slot < 0)[0]
+        new = [chunks[i] for i in missing.tolist()]
+        n, ids = self._encode(new)
+        at = len(self.ids) + np.cumsum(n) - n
+        starts, lengths = np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64)
+        starts[missing], lengths[missing] = at, n
+        known = slot >= 0
+        starts[known], lengths[known] = self.starts[slot[known]], self.lengths[slot[known]]
+        flat = np.concatenate([self.ids, ids])
+        keep = min(len(new), self.room - len(self.slots))
+        if keep > 0:
+            self.slots.update(zip(new[:keep], range(len(self.starts), len(self.starts) + keep), strict=True))
+            self.starts, self.lengths = np.concatenate([self.starts, at[:keep]]), np.concatenate([self.lengths, n[:keep]])
+            self.ids = flat[: len(self.ids) + int(n[:keep].sum())].copy()
+        return starts, lengths, flat
+
+    def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each chunk, and all ids.  Chunks are joined by spaces, 400 in a string; a token belongs to the chunk in which it starts."""
+        lengths, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for a in range(0, len(chunks), 40_000):
+            groups = [chunks[i : i + 400] for i in range(a, min(a + 40_000, len(chunks)), 400)]
+            for g, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+                at = np.fromiter((o[0] for o in e.offsets), np.int64)
+                if (np.diff(at) < 0).any():  # offsets out of order: one by one
+                    each = [x.ids for x in self.tokenizer.encode_batch(g, add_special_tokens=False)]
+                    lengths.append(np.fromiter(map(len, each), np.int64, len(g)))
+                    ids += [np.array(x, np.int32) for x in each]
+                    continue
+                ends = np.cumsum(np.fromiter((len(c) + 1 for c in g), np.int64, len(g)))
+                lengths.append(np.diff(np.searchsorted(at, ends, "left"), prepend=0))
+                ids.append(np.array(e.ids, np.int32))
+        return np.concatenate(lengths), np.concatenate(ids)
 
 
 def encoder(spec: str) -> ChunkEncoder:
