@@ -101,3 +101,17 @@ RIDGE = {
     "fee_unknown": 0.07923183413991697,
 }
 RIDGE_CLIP, RIDGE_GUARD = (0.02, 0.98), ("NEEDS_REVIEW", 0.9)
+
+# Risk flags, and patterns of phrases that stand for one.
+RISK_FLAGS = [*DISQUALIFYING_FLAGS, *REVIEW_FLAGS]
+RISK_PHRASES = {"identity_conflict": r"(?i)identity.*(mismatch|conflict|failed)", "illegible_biometrics": r"(?i)biometric.*(illegible|unreadable|failed)"}
+
+# What a sponsor's sentence says, by field (first group).
+SPONSOR_SENTENCE = {
+    "sponsor_id": r"(?i)\bsponsor\s+(SP[NM]\s*[-:]?\s*[0-9OQCDILSB\s]{4,10})\b",
+    "applicant_name": r"(?i)\battests?\s+that\s+([A-Za-z]+\s+[A-Za-z]+)\s+is\s+expected\b",
+    "declared_purpose": r"(?i)\bis\s+expected\s+on\s+earth\s+for\s+(.+?)(?:\.\s+the\s+sponsor|\.\s+this\s+attestation|$)",
+    "visa_class": r"(?i)\bclass\s+([A-Za-z0-9._-]+)\s+compliance\b",
+}
+# Explicit fee facts of a note.
+FEE_PHRASES = {"unpaid": r"(?i)\bmandatory\s+fee\s+(is\s+)?unpaid\b", "unknown": r"(?i)\bfee\s+status\s*(:|=|-)?\s*(is\s+)?unknown\b"}
