@@ -62,9 +62,10 @@ LEVELS = ("decision", "bucket", "signature")
 
 
 def fit_semantic(samples: DataFrame) -> DataFrame:
-    """(level, key, correct, total) of samples (decision, bucket, signature, correct): all four levels in one pass of grouping sets."""
+    """(level, key, correct, total) of samples (decision, bucket, signature, correct): all four levels by grouping sets, over counts of the distinct traces."""
     sets = [[], *[[c] for c in LEVELS]]
-    out = samples.groupingSets(sets, *LEVELS).agg(F.sum(F.col("correct").cast("long")).alias("correct"), F.count("*").alias("total"), F.grouping_id(*LEVELS).alias("_g"))
+    traces = samples.groupBy(*LEVELS).agg(F.sum(F.col("correct").cast("long")).alias("correct"), F.count("*").alias("total"))
+    out = traces.groupingSets(sets, *LEVELS).agg(F.sum("correct").alias("correct"), F.sum("total").alias("total"), F.grouping_id(*LEVELS).alias("_g"))
     level = F.when(F.col("_g") == 7, "global").when(F.col("_g") == 3, "decision").when(F.col("_g") == 5, "bucket").otherwise("signature")
     return out.select(level.alias("level"), F.coalesce(*LEVELS, F.lit("")).alias("key"), "correct", "total")
 

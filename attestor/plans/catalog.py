@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package with QUERIES {name: f(spark, sf_dir)} and ORACLE {name: SQL}.
-MODULES = ["evidence", "policy", "scoring", "layout", "linking", "text", "repairs", "extract"]
+MODULES = ["evidence", "policy", "scoring", "layout", "linking", "text", "repairs", "extract", "recovery"]
 
 
 def _all(what: str) -> dict:
