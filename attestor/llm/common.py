@@ -27,7 +27,6 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="attestor-")
         spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("attestor.shared.dir", found)
     return found.rstrip("/")
 
 
