@@ -38,9 +38,9 @@ def in_scope(case: Column, hint: Column) -> Column:
 
 
 def narrative_fee(lines: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
-    """(page, value, confidence) of the fee that a page's lines state: the first by line, confidence the mean of the lines that state it."""
+    """(page, value, confidence) of the fee that a page's lines state: the first by line (of one line the least), confidence the mean of the lines that state it."""
     said = lines.select(*page, "line_seq", "confidence", fee_fact(F.col("text")).alias("_fee")).filter(F.col("_fee").isNotNull())
-    first = said.groupBy(*page).agg(F.min_by("_fee", "line_seq").alias("value"))
+    first = said.groupBy(*page).agg(F.min(F.struct("line_seq", "_fee"))["_fee"].alias("value"))
     return said.join(first, list(page)).filter(F.col("_fee") == F.col("value")).groupBy(*page).agg(F.first("value").alias("value"), F.avg("confidence").alias("confidence"))
 
 
