@@ -77,7 +77,7 @@ QUERIES = {"l8_text_cues": l8, "f7_unsafe_pages": f7, "x6_narrative_fee": x6, "x
 ORACLE = {
     "l8_text_cues": f"WITH {_SQL} SELECT case_id, line_seq, array_to_string(list_sort([x FOR x IN [{_cue}, CASE WHEN struck THEN 'strikethrough' END] IF x IS NOT NULL]), ',') AS cues FROM n",
     "f7_unsafe_pages": f"WITH {_SQL} SELECT case_id, page_index, line_seq FROM n WHERE (case_id, page_index) NOT IN (SELECT (case_id, page_index) FROM n WHERE struck AND confidence > 0.8)",
-    "x6_narrative_fee": f"""WITH {_SQL}, f AS (SELECT *, {_fee} AS fee FROM n WHERE line_seq % 4 = 0), s AS (SELECT * FROM f WHERE fee IS NOT NULL), m AS (SELECT case_id, page_index, min({'a': line_seq, 'b': fee}).b AS value FROM s GROUP BY 1, 2)
+    "x6_narrative_fee": f"""WITH {_SQL}, f AS (SELECT *, {_fee} AS fee FROM n WHERE line_seq % 4 = 0), s AS (SELECT * FROM f WHERE fee IS NOT NULL), m AS (SELECT case_id, page_index, min({{'a': line_seq, 'b': fee}}).b AS value FROM s GROUP BY 1, 2)
 SELECT s.case_id, s.page_index, m.value, round(avg(confidence), 6) AS confidence FROM s JOIN m ON s.case_id = m.case_id AND s.page_index = m.page_index AND fee = m.value GROUP BY 1, 2, 3""",
     "x8_first_new": f"""WITH {_SQL}, a AS (SELECT * FROM n WHERE confidence >= 0.5 AND (case_id, field_name, value) NOT IN (SELECT (case_id, field_name, value) FROM n WHERE confidence < 0.2))
 SELECT case_id, field_name, value FROM (SELECT *, row_number() OVER (PARTITION BY case_id, field_name ORDER BY page_index, line_seq, value) AS rn FROM a) WHERE rn = 1""",
