@@ -57,6 +57,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of a batch that goes to Python; several copies of one are alive at a time, in each worker.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow in batches of bounded size; what a task's batches held goes back to the system at its end."""
+    for key, value in BATCH.items():
+        df.sparkSession.conf.set(key, value)
+
+    def bounded(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(bounded, schema)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, all else as it is.  lower() is the fast way where the text is ASCII throughout."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

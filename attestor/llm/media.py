@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, slices, table, text_parts
+from .common import in_batches, scratch, slices, table, text_parts
 
 RATE = 8000
 
@@ -196,7 +196,7 @@ def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                 yield pa.record_batch([batch.column("doc_id").slice(a, b - a), pa.array([len(x) for x in raw], pa.int64()), pa.array(["application/octet-stream"] * len(raw)), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "declared", "media"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows.mapInArrow(run, "doc_id long, n_bytes long, declared string, media binary").write.option("compression", "zstd").parquet(path)
+    in_batches(rows, run, "doc_id long, n_bytes long, declared string, media binary").write.option("compression", "zstd").parquet(path)
 
 
 def sniffed(media: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ def sniffed(media: DataFrame) -> DataFrame:
             parts = [[{"offset": a, "length": n, "kind": k} for a, n, k in p] for _, p in found]
             yield pa.record_batch([*batch.columns, pa.array([k for k, _ in found]), pa.array(parts, part)], names=[*batch.schema.names, "kind", "embedded"])
 
-    return media.mapInArrow(run, f"{schema}, kind string, embedded array<struct<offset:bigint,length:bigint,kind:string>>")
+    return in_batches(media, run, f"{schema}, kind string, embedded array<struct<offset:bigint,length:bigint,kind:string>>")
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,4 +239,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     path = scratch(spark, "media")
     store(table(spark, sf_dir, "documents"), path)
     rows = spark.read.schema("doc_id long, n_bytes long, declared string, media binary").parquet(path)
-    return rows.mapInArrow(_features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return in_batches(rows, _features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, stored, table
+from .common import column, in_batches, stored, table
 
 #: Most distinct fingerprints of a bucket that are gathered.
 GROUP = 10_000
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.record_batch([batch.column("id"), batch.column("same"), pa.array(fps.view(np.int64))], names=["id", "same", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.withColumn("same", F.xxhash64("text")).select("id", "same", "text").mapInArrow(run, "id long, same long, fp long")
+    return in_batches(rows.withColumn("same", F.xxhash64("text")).select("id", "same", "text"), run, "id long, same long, fp long")
 
 
 def masks(radius: int, bits: int = 64) -> list[int]:

@@ -24,10 +24,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunk_codes, gather, scratch, slices, table, text_parts
+from .common import chunk_codes, gather, in_batches, scratch, slices, table, text_parts
 
 #: Chunks that a worker keeps the ids of.
-CACHE = 300_000
+CACHE = 200_000
 TOKENIZER = "word_bpe_49k.json"
 
 _encoders: dict = {}
@@ -131,7 +131,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     rows = rows.withColumn("tie", F.xxhash64("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    rows.mapInArrow(_encoding(spec, end_id), "doc_id long, part int, first long, n_tokens int, ids array<int>").write.option("parquet.block.size", group_bytes).option("parquet.page.row.count.limit", page_rows).option("parquet.enable.dictionary", "true").option(
+    in_batches(rows, _encoding(spec, end_id), "doc_id long, part int, first long, n_tokens int, ids array<int>").write.option("parquet.block.size", group_bytes).option("parquet.page.row.count.limit", page_rows).option("parquet.enable.dictionary", "true").option(
         "compression", "zstd"
     ).parquet(path)
 
@@ -180,7 +180,7 @@ def digest(docs: DataFrame, **how) -> DataFrame:
     """Documents through the files and back: doc_id, start, n_tokens, ids_crc32 as read from them."""
     path = scratch(docs.sparkSession, "tokens")
     write_tokens(docs, path, **how)
-    return read_tokens(docs.sparkSession, path).mapInArrow(_digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return in_batches(read_tokens(docs.sparkSession, path), _digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_codes, gather, slices, table, text_parts
+from .common import chunk_codes, gather, in_batches, slices, table, text_parts
 
 #: Feature space, and the lengths of word beginnings that are features besides whole words.
 BITS, PREFIXES = 18, (4, 5, 6, 7)
@@ -39,7 +39,7 @@ def folded(words: pa.Array) -> pa.Array:
 class Features:
     """Feature numbers of distinct words, remembered up to a bound; with `keep`, only those marked there."""
 
-    def __init__(self, keep: np.ndarray | None = None, room: int = 200_000) -> None:
+    def __init__(self, keep: np.ndarray | None = None, room: int = 100_000) -> None:
         self.keep, self.room, self.known = keep, room, {}
 
     def of(self, word: str) -> tuple:
@@ -68,7 +68,7 @@ class Features:
 def _sample_rows(texts: list[str], keep: np.ndarray | None = None):
     """Features.rows of a list of texts, in parts."""
     features = Features(keep)
-    for a, b in slices(np.fromiter(map(len, texts), np.int64, len(texts)), 2 << 20):
+    for a, b in slices(np.fromiter(map(len, texts), np.int64, len(texts)), 1 << 19):
         row, col, val = features.rows(pa.array(texts[a:b], pa.large_string()))
         yield row + a, col, val
 
@@ -194,7 +194,7 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
             s = scorer(batch, "text")
             yield pa.record_batch([batch.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int")
+    return in_batches(rows, run, "doc_id long, score double, predicted int")
 
 
 def reject(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
@@ -209,7 +209,7 @@ def reject(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFr
         for batch in batches:
             yield batch.filter(pa.array(scorer(batch, text_col) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -18,12 +18,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_codes, table, text_parts
+from .common import chunk_codes, in_batches, table, text_parts
 from .token_store import TOKENIZER, tokenizer_json
 
 END = "</w>"
 #: Words that a worker remembers the count of.
-CACHE = 300_000
+CACHE = 200_000
 
 
 def byte_chars() -> dict[int, str]:
@@ -134,7 +134,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.record_batch([batch.column("doc_id").slice(a, b - a), *(pa.array(s[rows[1:]] - s[rows[:-1]]) for s in sums)], names=["doc_id", "n_words", "n_tokens", "n_unknown"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_unknown long")
+    return in_batches(rows, run, "doc_id long, n_words long, n_tokens long, n_unknown long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
