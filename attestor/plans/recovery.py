@@ -35,7 +35,7 @@ def f7(spark, sf_dir):
 
 
 def x6(spark, sf_dir):
-    return V.narrative_fee(rows(spark, sf_dir).filter("line_seq % 4 = 0")).withColumn("confidence", F.round("confidence", 6))
+    return V.narrative_fee(rows(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
 
 
 def x8(spark, sf_dir):
