@@ -10,6 +10,8 @@ from helpers import SF
 from attestor.functions import vocab
 from attestor.plans import recovery
 
+BIG = "/root/testdata/sf0.01"
+
 
 def test_narrative_fee_of_all_lines(spark):
     pages = defaultdict(list)
@@ -25,3 +27,15 @@ def test_narrative_fee_of_all_lines(spark):
     got = {(r.case_id, r.page_index): (r.value, r.confidence) for r in recovery.x6(spark, SF).collect()}
     assert got.keys() == want.keys()
     assert all(got[k][0] == v and abs(got[k][1] - c) < 1e-6 for k, (v, c) in want.items())
+
+
+def test_agreement_of_all_cases(spark):
+    readings = [defaultdict(set) for _ in range(3)]
+    for r in recovery.rows(spark, BIG).collect():
+        if r.confidence > (0.9 if r.page_index == 2 else 0.3):
+            readings[r.page_index][r.case_id, r.field_name].add(r.value)
+    first, second, known = readings
+    want = {(*k, *v) for k, v in first.items() if len(v) == 1 and second.get(k) == v and k not in known}
+    got = [tuple(r) for r in recovery.x17(spark, BIG).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert any(case >= 2500 for case, _, _ in got)
