@@ -46,7 +46,7 @@ def r8(spark, sf_dir):
 
 
 def r9_winner(spark, sf_dir):
-    return K.winners(evidence(spark, sf_dir).filter("not correction"))
+    return K.winners(evidence(spark, sf_dir))
 
 
 def fields(spark):
