@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab
+from .fuzzy import close_items
 
 
 def risk_flags(text: Column) -> Column:
-    """Sorted flags that a line names in full, whatever separates their words, or by a phrase."""
+    """Sorted flags that a line names in full, whatever separates their words, by a phrase, or nearly in full after a label."""
     words = F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_")
     named = [F.when(words.rlike(f"(^|_){f}(_|$)"), F.lit(f)) for f in vocab.RISK_FLAGS]
     said = [F.when(text.rlike(p), F.lit(f)) for f, p in vocab.RISK_PHRASES.items()]
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*named, *said))))
+    labelled = F.when(text.rlike("(?i)flag"), text)  # of other lines Python gets nulls
+    close = close_items(labelled, vocab.RISK_LABEL, r"[,;|\s]+", "[^a-z_]", vocab.RISK_FLAGS, vocab.RISK_CUTOFF, vocab.RISK_FILLERS)
+    return F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(*named, *said)), F.coalesce(close, F.array().cast("array<string>")))))
 
 
 def fee_fact(text: Column) -> Column:

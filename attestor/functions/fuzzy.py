@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import difflib
+import re
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from .text import ocr_key
 
@@ -51,3 +52,28 @@ def canonical(x: Column, vocabulary: list[str], cutoff: float, margin: float = 0
         return s.map(found)
 
     return look_up(ocr_key(F.coalesce(x, F.lit(""))))
+
+
+def close_items(text: Column, label: str, split: str, drop: str, vocabulary: list[str], cutoff: float, but: list[str]) -> Column:
+    """Array of the vocabulary's items that the items after a label (its first group) stand for, each the most similar one that reaches the cutoff (of equal ones the greatest); null without the label.
+
+    Items are split off by a pattern, folded, and rid of what `drop` matches; those in `but` don't count.
+    """
+
+    def nearest(item: str) -> str | None:
+        score, best = max((ratio(v, item), v) for v in vocabulary)
+        return best if score >= cutoff else None
+
+    def found(t: str) -> list[str] | None:
+        said = re.search(label, t)
+        if not said:
+            return None
+        items = [re.sub(drop, "", x.casefold()) for x in re.split(split, said[1])]
+        return [n for x in items if x and x not in but and (n := nearest(x))]
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def look_up(s: pd.Series) -> pd.Series:
+        known = {t: found(t) for t in s.dropna().unique()}
+        return pd.Series([known.get(t) for t in s], dtype=object)
+
+    return look_up(text)

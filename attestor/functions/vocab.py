@@ -106,6 +106,9 @@ RIDGE_CLIP, RIDGE_GUARD = (0.02, 0.98), ("NEEDS_REVIEW", 0.9)
 RISK_FLAGS = [*DISQUALIFYING_FLAGS, *REVIEW_FLAGS]
 RISK_PHRASES = {"identity_conflict": r"(?i)identity.*(mismatch|conflict|failed)", "illegible_biometrics": r"(?i)biometric.*(illegible|unreadable|failed)"}
 
+# Label before a list of risk flags, how similar an item must be to a flag, and items that are none.
+RISK_LABEL, RISK_CUTOFF, RISK_FILLERS = r"(?i)(?:risk\s+flags?|observed\s+flags?)\s*(?::|=|-)?\s*(.*)$", 0.72, ["none", "reason", "disqualifying"]
+
 # What a sponsor's sentence says, by field (first group).
 SPONSOR_SENTENCE = {
     "sponsor_id": r"(?i)\bsponsor\s+(SP[NM]\s*[-:]?\s*[0-9OQCDILSB\s]{4,10})\b",
