@@ -70,7 +70,7 @@ def _places(h: str, key: str) -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, k: int = 7, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per row of docs: id, n_words, n_hit, items (distinct ids as strings, sorted), spans (merged [start, end) word ranges).
+    """One row per row of docs: id, n_words, n_hit, items (distinct ids as strings, sorted), spans (merged [start, end) word ranges), _same (hash of the text, null as empty, which tells rows of one id apart).
 
     An item window is `window` consecutive words, or the whole item if it has
     fewer, but not none.  A word inside any occurrence of a window is hit.
@@ -108,6 +108,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.aggregate("_spans", F.lit(0).cast("long"), lambda a, x: a + (x["end"] - x["start"])).alias("n_hit"),
         F.array_sort("_items").alias("items"),
         F.col("_spans").alias("spans"),
+        "_same",
     )
 
 

@@ -24,10 +24,11 @@ def one_of_each_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_benchmark(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window."""
+    """Documents without any benchmark window; rows of one id, or of none, are told apart by their texts."""
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0")
-    bad = found.select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    bad = found.select(F.col("doc_id").alias("_bad"), F.col("_same").alias("_bad_same")).distinct()
+    same = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")) & (same == F.col("_bad_same")), "left_anti")
 
 
 def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
