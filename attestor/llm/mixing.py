@@ -108,7 +108,9 @@ def mix(docs: DataFrame, sources: Column, size: Column, id_col: str = "doc_id",
     stands for a source of its own, last in order); a row without any is not
     taken.  Sources by code point weigh `weights`, repeating, and share `share`
     times all sizes.  Rows of size 0 go with the documents around them in hash
-    order.  Rows with the same id and size stand and fall together.
+    order.  Rows with the same id and size stand and fall together.  The flow
+    is solved for MAX_PATTERNS membership patterns (distinct sets of sources)
+    at most; more raise ValueError, and nothing is mixed.
     """
     null = "\U0010ffff\U0010ffff"  # sorts last
     rows = docs.withColumn("_size", F.coalesce(size, F.lit(0)).cast("long"))
