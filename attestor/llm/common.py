@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -19,14 +20,20 @@ NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_local: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one if unset (tests)."""
+    """The folder in spark.checkpoint.dir, which driver and executors share.  Where it is unset, a local session gets a temporary one; a cluster has no folder that all see, so it must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir()
     if found is not None and not isinstance(found, str):
         found = found.get() if found.isDefined() else None
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="attestor-")
-        spark.sparkContext.setCheckpointDir(found)
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if not _local:
+            _local.append("file://" + tempfile.mkdtemp(prefix="attestor-"))
+        found = _local[0]
     return found.rstrip("/")
 
 
@@ -80,6 +87,31 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until no column of df has them (case aside)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def running(values: Column, size: Column, join) -> Column:
+    """Inclusive running join (sum, greatest and so on, null as the absence of a value) of an array, in log2(size) passes of which each doubles the stretch.
+
+    An accumulator that grows an array element by element would copy it each time.
+    """
+    strides = F.transform(F.sequence(F.lit(0), F.length(F.bin(size))), power)
+    return F.aggregate(strides, values, lambda acc, k: F.transform(acc, lambda x, i: F.when(i >= k, join(F.get(acc, i - k), x)).otherwise(x)))
+
+
+def power(k: Column) -> Column:
+    """2 ** k, an int."""
+    return F.call_function("shiftleft", F.lit(1), k)
+
+
 def space_words(text: Column) -> Column:
     """The number of SPACE_WORD runs; null counts as empty.  Other white space is made spaces first, as a split by one plain character needs no regular expression."""
     out = F.coalesce(text, F.lit(""))

@@ -1,7 +1,7 @@
 """Secret scans, in DataFrame functions only: fixed patterns, and two character Markov models.
 
-Matches of a pattern and the text between them alternate, so their lengths give
-each match's place in code points.  The method proper scores long runs of
+Matches of a pattern and the text between them alternate, so running sums of
+their lengths give each match's place in code points.  The method proper scores long runs of
 identifier characters: a first-order Markov model of random strings and one of
 ordinary identifiers, each trained from labelled samples, are compared by the
 log-likelihood ratio; what is likelier random by `threshold` nats is a span too.
@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, table
+from .common import LOWER, UPPER, power, running, table
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Least lengths are in the patterns where that finds the same matches: both take whole runs of their class.
@@ -33,33 +33,51 @@ THRESHOLD = 12.0
 #: Weight of a class's own frequency against the pairs seen.
 BACK_OFF = 20.0
 
-SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
+def _matches(text: Column, pattern: str, value: int | None = None) -> Column:
+    """(n, m, word, v) of each match: code points from the end of the match before to its end, its own length and text, and the length of a group.  Empty where there is none."""
+    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    pairs = F.zip_with(between, found, lambda g, m: F.struct((F.char_length(g) + F.char_length(m)).alias("n"), F.char_length(m).alias("m"), m.alias("word")))
+    pairs = F.filter(pairs, lambda x: x["m"].isNotNull())
+    v = F.regexp_extract_all(text, F.lit(pattern), F.lit(value)) if value else F.lit(None).cast("array<string>")
+    pairs = F.zip_with(pairs, F.coalesce(v, F.array().cast("array<string>")), lambda x, y: F.struct(x["n"].alias("n"), x["m"].alias("m"), x["word"].alias("word"), F.char_length(y).alias("v")))
+    return F.when(text.rlike(pattern), pairs).otherwise(F.expr("cast(array() as array<struct<n:int,m:int,word:string,v:int>>)"))
 
 
-def _spans(text: Column, pattern: str, kind: str, rank: int, keep=None) -> Column:
-    """Spans of all matches; keep(i) says whether match number i stays.  Empty where there is none."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    lengths = F.zip_with(between, found, lambda g, m: F.struct(F.char_length(g).alias("g"), F.char_length(m).alias("m")))
-    start = F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int>>)")
-    spans = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), start.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + F.coalesce(x["m"], F.lit(0))).alias("at"),
-            F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (acc["at"] + x["g"] + x["m"]).alias("end"))))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    if keep is not None:
-        spans = F.filter(spans, keep)
-    return F.when(text.rlike(pattern), spans).otherwise(start)
+def _spans(df: DataFrame, out: str, pattern: str, kind: str, rank: int, value: int | None = None, least: int = 0) -> DataFrame:
+    """df with out: the spans (start, rank, kind, end, word) of the matches in _t, of those whose group `value` has `least` characters.
+
+    Places are running sums over the lengths of matches and of what is between
+    them: one pass over the text whatever the number of matches.  The matches
+    stand in a column of their own; it is referred to more than once, so
+    Catalyst doesn't move it into the lambdas, where it would be computed anew.
+    """
+    df = df.withColumn("_m", _matches(F.col("_t"), pattern, value))
+    ends = running(F.transform("_m", lambda x: x["n"]), F.size("_m"), lambda a, b: a + b)
+    spans = F.zip_with(ends, "_m", lambda e, x: F.struct((e - x["m"]).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), e.alias("end"), x["word"].alias("word"), x["v"].alias("v")))
+    return df.withColumn(out, F.filter(spans, lambda x: F.coalesce(x["v"] >= least, F.lit(True)))).drop("_m")
+
+
+def _bare(spans: str) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
+
+
+def _base(df: DataFrame) -> DataFrame:
+    """df with _base, the fixed kinds' spans in order: assign with a value of 6 characters or more, access of 20 or more, hex of 24 or more."""
+    df = _spans(df, "_assign", ASSIGN, "assign", 0, 2, 6)
+    df = _spans(_spans(df, "_access", ACCESS, "access", 1), "_hex", HEX, "hex", 2)
+    return df.withColumn("_base", F.array_sort(F.concat(_bare("_assign"), _bare("_access"), _bare("_hex")))).drop("_assign", "_access", "_hex")
+
+
+def _rank(sorted_: str, x: Column, upto: bool) -> Column:
+    """How many of the sorted array's values are less than x (or at most x), by halving steps."""
+    size = F.size(sorted_)
 
+    def step(at: Column, k: Column) -> Column:
+        to = at + power(k)
+        v = F.get(sorted_, to - 1)
+        return F.when((to <= size) & ((v <= x) if upto else (v < x)), to).otherwise(at)
 
-def base_spans(text: Column) -> Column:
-    """The fixed kinds' spans, unsorted: assign with a value of 6 characters or more, access of 20 or more, hex of 24 or more."""
-    values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
-    assign = _spans(text, ASSIGN, "assign", 0, lambda s, i: F.char_length(F.get(values, i)) >= 6)
-    return F.concat(assign, _spans(text, ACCESS, "access", 1), _spans(text, HEX, "hex", 2))
+    return F.aggregate(F.sequence(F.length(F.bin(size)), F.lit(0), F.lit(-1)), F.lit(0), step)
 
 
 def _classes(word: Column) -> Column:
@@ -124,11 +142,13 @@ def scan(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col:
     repeated rows are all returned; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    rows = rows.withColumn("_base", F.array_sort(base_spans(F.col("_t"))))
-    rows = rows.withColumn("_runs", _spans(F.col("_t"), RUN, "markov", 3))
-    rows = rows.withColumn("_runs", F.filter("_runs", lambda r: ~F.exists("_base", lambda s: (s["start"] < r["end"]) & (s["end"] > r["start"]))))
-    rows = rows.withColumn("_runs", F.filter("_runs", lambda r: ratio(F.substring(F.col("_t"), r["start"] + 1, r["end"] - r["start"]), model) > threshold))
-    return rows.select(F.col("_id").alias(id_col), F.col("_base").alias("base"), F.array_sort(F.concat("_base", "_runs")).alias("spans"))
+    rows = _spans(_base(rows), "_runs", RUN, "markov", 3).drop("_t")
+    rows = rows.withColumns({"_starts": F.array_sort(F.transform("_base", lambda s: s["start"])), "_ends": F.array_sort(F.transform("_base", lambda s: s["end"]))})
+    # a base span overlaps a run if it starts before the run's end and doesn't end before its start
+    free = lambda r: _rank("_starts", r["end"], False) == _rank("_ends", r["start"], True)
+    rows = rows.withColumn("_runs", F.filter("_runs", free))
+    rows = rows.withColumn("_runs", F.filter("_runs", lambda r: ratio(r["word"], model) > threshold))
+    return rows.select(F.col("_id").alias(id_col), F.col("_base").alias("base"), F.array_sort(F.concat(F.col("_base"), _bare("_runs"))).alias("spans"))
 
 
 def listed(spans: str) -> Column:
