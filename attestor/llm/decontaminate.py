@@ -1,14 +1,15 @@
 """Benchmark decontamination by winnowing, in DataFrame functions only.
 
 Every k-gram of words is hashed; from each run of w = window - k + 1 hashes the
-least is kept.  A shared span of `window` words holds such a run on both sides,
+least is kept, with its place (of equal ones all).  A shared span of `window` words holds such a run on both sides,
 so both sides keep the same k-gram of it: the join on kept hashes misses no
 window.  Each joint fingerprint is then extended word by word, at most w - 1
 words to either side, and counts if the run has `window` words.  The words
 themselves are compared, so hash collisions do no harm.
 
-The documents are read once for each block of benchmark fingerprints; a block
-is broadcast and has at most `block_rows` of them.  Documents' fingerprints are
+The documents are read once for each block of benchmark fingerprints, those of
+items shorter than a window included; a block is broadcast and has about
+`block_rows` of them.  Documents' fingerprints are
 never shuffled: what is grouped is one marker row per document and its hits.
 """
 
@@ -19,10 +20,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_WORD, lower_ascii
+from .common import NON_WORD, lower_ascii, running
 
 #: Most fingerprints of the benchmark in one broadcast, about 300 bytes each.
 BLOCK_ROWS = 200_000
+#: Words of a stretch of a document, besides the overlap.
+STRETCH = 1024
 #: Key of the marker rows; a fingerprint that happens to be the same meets no item there.
 MARK = -6_148_914_691_236_517_206
 
@@ -52,21 +55,36 @@ def _hashes(df: DataFrame, k: int) -> DataFrame:
     """_h: hash of each k-gram of _words; empty if there are fewer."""
     if k == 1:
         return df.withColumn("_h", F.transform("_words", lambda x: F.xxhash64(x)))
-    return _runs(df, "_words", F.col("_n"), k, "_h", lambda x, y: F.xxhash64(x, y))
+    return _runs(df, "_words", F.size("_words"), k, "_h", lambda x, y: F.xxhash64(x, y))
 
 
-# explode_outer, not explode: for the latter Catalyst infers a filter on the array's size, which it pushes
-# below the projections, so that the nested arrays are computed anew for each element of the outer ones.
-def _fingerprinted(df: DataFrame, k: int, w: int) -> DataFrame:
-    """_words, _n, _h and _fps, the distinct kept hashes.  Each step refers to the one before more than once, so Catalyst keeps them apart."""
-    df = df.withColumn("_words", words_of(F.col("_text"))).withColumn("_n", F.size("_words"))
-    df = _runs(_hashes(df, k), "_h", F.greatest(F.col("_n") - (k - 1), F.lit(0)), w, "_m", lambda x, y: F.least(x, y))
-    return df.withColumn("_fps", F.array_distinct("_m"))
+def _stretches(docs: DataFrame, overlap: int, length: int = STRETCH) -> DataFrame:
+    """_id, _same, _n (words of the document) and a row for each stretch of it: _off, where it begins, and _words.
+
+    Stretches overlap, so that each window lies whole in one.  What a hit
+    carries along is a stretch, not the document, however long that is.
+    """
+    docs = docs.withColumn("_words", words_of(F.col("_text"))).withColumn("_n", F.size("_words"))
+    last = F.greatest(F.lit(0), F.floor((F.col("_n") - overlap - 1) / length)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), last), lambda j: F.struct((j * length).alias("off"), F.slice("_words", j * length + 1, F.lit(length + overlap)).alias("words")))
+    docs = docs.select("_id", F.xxhash64("_text").alias("_same"), "_n", F.explode_outer(parts).alias("_part"))
+    return docs.select("_id", "_same", "_n", F.col("_part.off").alias("_off"), F.col("_part.words").alias("_words"))
 
 
-def _places(h: str, key: str) -> Column:
-    """Where the hash stands; few fingerprints have a partner, so places are looked up after the join."""
-    return F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.get(h, i) == F.col(key))
+def _fingerprinted(df: DataFrame, k: int, w: int) -> DataFrame:
+    """df, which has _words, with _h and _at, the places of kept hashes: those that are the least of some run of w that they are in.
+
+    The least of a run is at most the hash; a place is kept if the greatest of
+    the leasts of its runs is the hash itself.  Each step refers to the one
+    before more than once, so Catalyst keeps them apart.
+    """
+    df = _hashes(df, k).withColumn("_k", F.greatest(F.size("_words") - (k - 1), F.lit(0)))
+    df = _runs(df, "_h", F.col("_k"), w, "_m", lambda x, y: F.least(x, y))
+    edge = F.array_repeat(F.lit(-(1 << 63)), w - 1)
+    df = _runs(df.withColumn("_m", F.concat(edge, "_m", edge)), "_m", F.size("_m"), w, "_c", lambda x, y: F.greatest(x, y))
+    # zip_with takes the two columns as they are; in a lambda over places Catalyst would compute _c anew for each
+    kept = F.filter(F.transform(F.zip_with("_h", "_c", lambda x, y: x == y), lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
+    return df.withColumn("_at", F.when(F.col("_k") >= w, kept).otherwise(F.array().cast("array<int>"))).drop("_k", "_m", "_c")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, k: int = 7, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -86,22 +104,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.coalesce(F.col(item_id_col).cast("string"), F.lit("")).alias("_item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("_text")).distinct()
     items = items.withColumn("_words", words_of(F.col("_text"))).withColumn("_n", F.size("_words"))
     span = window + w - 1  # k-gram with w - 1 words on either side
-    grams = _fingerprinted(items.filter(F.col("_n") >= window).select("_item", "_text"), k, w)
-    grams = grams.withColumn("_key", F.explode_outer("_fps")).withColumn("_q", F.explode_outer(_places("_h", "_key"))).select(
-        "_key", "_item", F.transform(F.sequence(F.lit(0), F.lit(span - 1)), lambda t: F.get("_words", F.col("_q") - (w - 1) + t)).alias("_ctx")
+    grams = _fingerprinted(items.filter(F.col("_n") >= window).select("_item", "_words"), k, w)
+    grams = grams.withColumn("_q", F.explode_outer("_at")).select(
+        F.lit(0).alias("_len"), F.get("_h", "_q").alias("_key"), "_item", F.transform(F.sequence(F.lit(0), F.lit(span - 1)), lambda t: F.get("_words", F.col("_q") - (w - 1) + t)).alias("_ctx")
     )
     short = items.filter((F.col("_n") > 0) & (F.col("_n") < window))
-    found = [_long_hits(base, block, k, w, window, span, markers=i == 0) for i, block in enumerate(_blocks(grams, "_key", block_rows))]
-    for n in sorted(r[0] for r in short.select("_n").distinct().collect()):  # at most window - 1 values
-        keyed = _hashes(short.filter(F.col("_n") == n), n).select(F.get("_h", F.lit(0)).alias("_key"), "_item", F.col("_words").alias("_ctx"))
-        found += [_short_hits(base, block, n) for block in _blocks(keyed, "_key", block_rows)]
+    lengths = sorted(r[0] for r in short.select("_n").distinct().collect())  # at most window - 1 values
+    for n in lengths:
+        grams = grams.unionByName(_hashes(short.filter(F.col("_n") == n), n).select(F.lit(n).alias("_len"), F.get("_h", F.lit(0)).alias("_key"), "_item", F.col("_words").alias("_ctx")))
+    # items that share a context are one row, however many they are
+    grams = grams.groupBy("_len", "_key", "_ctx").agg(F.collect_set("_item").alias("_items"))
+    found = [_hits(base, block, k, w, window, lengths, markers=i == 0) for i, block in enumerate(_blocks(grams, "_key", block_rows))]
     hits = reduce(DataFrame.unionByName, found)
     merged = (
         hits.groupBy("_id", "_same", "_n")
-        .agg(F.sum("_copies").alias("_copies"), F.collect_set(F.when(F.col("_end") > 0, F.struct("_start", "_end"))).alias("_iv"), F.collect_set("_item").alias("_items"))
+        .agg(F.sum("_copies").alias("_copies"), F.collect_set(F.when(F.col("_end") > 0, F.struct("_start", "_end"))).alias("_iv"), F.array_distinct(F.flatten(F.collect_set("_items"))).alias("_items"))
         .withColumn("_iv", F.array_sort("_iv"))
     )
-    merged = merged.withColumn("_spans", _union("_iv"))
+    merged = _union(merged, "_iv", "_spans")
     return merged.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(
         F.col("_id").alias(id_col),
         F.col("_n").cast("long").alias("n_words"),
@@ -112,17 +132,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
 
 
-def _union(name: str) -> Column:
-    """Sorted ranges merged where they overlap or touch."""
-    empty = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        new = F.struct(x["_start"].alias("start"), x["_end"].alias("end"))
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["_end"]).alias("end"))
-        return F.when(F.coalesce(last["end"] >= x["_start"], F.lit(False)), F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(new)))
-
-    return F.aggregate(F.col(name), empty, step)
+def _union(df: DataFrame, name: str, out: str) -> DataFrame:
+    """df with out: the sorted ranges of `name` merged where they overlap or touch.  A range begins a new one where it starts beyond the greatest end before it."""
+    df = df.withColumn("_far", running(F.transform(name, lambda x: x["_end"]), F.size(name), lambda a, b: F.greatest(a, b)))
+    df = df.withColumn("_first", F.filter(F.transform(name, lambda x, i: F.when((i == 0) | (x["_start"] > F.get("_far", i - 1)), i)), lambda i: i.isNotNull()))
+    begin = F.transform("_first", lambda i: F.get(name, i)["_start"])
+    end = F.transform("_first", lambda i, k: F.get("_far", F.coalesce(F.get("_first", k + 1), F.size("_far")) - 1))
+    return df.withColumn(out, F.zip_with(begin, end, lambda a, b: F.struct(a.alias("start"), b.alias("end")))).drop("_far", "_first")
 
 
 def _blocks(df: DataFrame, key: str, block_rows: int) -> list[DataFrame]:
@@ -132,44 +148,44 @@ def _blocks(df: DataFrame, key: str, block_rows: int) -> list[DataFrame]:
     return [df] if parts == 1 else [df.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == i) for i in range(parts)]
 
 
-def _long_hits(base: DataFrame, block: DataFrame, k: int, w: int, window: int, span: int, markers: bool) -> DataFrame:
-    docs = _fingerprinted(base, k, w)
-    docs = docs.withColumn("_same", F.xxhash64("_text")).drop("_text")
-    fps = F.col("_fps")
+def _hits(base: DataFrame, block: DataFrame, k: int, w: int, window: int, lengths: list[int], markers: bool) -> DataFrame:
+    """Occurrences of windows of 10 words (_len 0), found by kept hashes and extended, and of whole shorter items, found by the hashes of all their places; from one reading of the documents."""
+    docs = _fingerprinted(_stretches(base, window - 1), k, w)
+    place = lambda n: lambda p: F.struct(F.lit(n).alias("n"), p.cast("int").alias("p"))
+    at = [F.transform("_at", place(0))]
+    key = F.when(F.col("_at.n") == 0, F.get("_h", F.col("_at.p")))
+    for n in lengths:
+        docs = _hashes(docs.withColumnRenamed("_h", "_long"), n).withColumnRenamed("_h", f"_h{n}").withColumnRenamed("_long", "_h")
+        at.append(F.when(F.size("_words") >= n, F.transform(F.sequence(F.lit(0), F.size("_words") - n), place(n))).otherwise(F.array().cast("array<struct<n:int,p:int>>")))
+        key = key.when(F.col("_at.n") == n, F.get(f"_h{n}", F.col("_at.p")))
     if markers:  # one row for each document besides its fingerprints, so that it is there without any hit
-        fps = F.concat(F.array(F.lit(MARK)), fps)
-        none = block.sparkSession.range(1).select(F.lit(MARK).alias("_key"), F.lit(None).cast("string").alias("_item"), F.lit(None).cast("array<string>").alias("_ctx"))
+        at.append(F.when(F.col("_off") == 0, F.array(place(-1)(F.lit(-1)))).otherwise(F.array().cast("array<struct<n:int,p:int>>")))
+        key = key.when(F.col("_at.n") == -1, F.lit(MARK))
+        none = block.sparkSession.range(1).select(F.lit(-1).alias("_len"), F.lit(MARK).alias("_key"), F.lit(None).cast("array<string>").alias("_ctx"), F.lit(None).cast("array<string>").alias("_items"))
         block = block.unionByName(none)
-    docs = docs.select("_id", "_same", "_n", "_words", "_h", F.explode_outer(fps).alias("_fp"))
+    # explode_outer, not explode: for the latter Catalyst infers a filter on the array's size, which it pushes
+    # below the projections, so that the nested arrays are computed anew for each element of the outer ones
+    docs = docs.withColumn("_at", F.explode_outer(F.concat(*at) if len(at) > 1 else at[0])).withColumn("_fp", key)
     # an inner join: what has no partner goes before anything is copied, the words of the document above all
-    both = docs.join(F.broadcast(block), F.col("_fp") == F.col("_key"))
-    both = both.withColumn("_p", F.explode_outer(F.when(F.col("_ctx").isNull(), F.array(F.lit(-1))).otherwise(_places("_h", "_key"))))
-    same = F.transform(F.sequence(F.lit(0), F.lit(span - 1)), lambda t: F.when(F.get("_words", F.col("_p") - (w - 1) + t) == F.get("_ctx", t), "1").otherwise("0"))
-    both = both.withColumn("_bits", F.when(F.col("_ctx").isNotNull(), F.array_join(same, "")))
+    both = docs.join(F.broadcast(block), (F.col("_fp") == F.col("_key")) & (F.col("_at.n") == F.col("_len"))).withColumn("_p", F.col("_at.p"))
+    same = F.transform(F.sequence(F.lit(0), F.lit(window + w - 2)), lambda t: F.when(F.get("_words", F.col("_p") - (w - 1) + t) == F.get("_ctx", t), "1").otherwise("0"))
+    both = both.withColumn("_bits", F.when(F.col("_len") == 0, F.array_join(same, "")))
     before, gram, after = F.substring("_bits", 1, w - 1), F.substring("_bits", w, k), F.substring("_bits", w + k, w - 1)
-    both = both.withColumn("_l", F.length(before) - F.length(F.rtrim(before, F.lit("1")))).withColumn("_r", F.length(after) - F.length(F.ltrim(after, F.lit("1"))))
-    both = both.withColumn("_ok", F.coalesce((gram == "1" * k) & (F.col("_l") + F.col("_r") + k >= window), F.lit(False)))
+    both = both.withColumn("_l", F.when(F.col("_len") > 0, 0).otherwise(F.length(before) - F.length(F.rtrim(before, F.lit("1")))))
+    both = both.withColumn("_r", F.when(F.col("_len") > 0, F.col("_len") - k).otherwise(F.length(after) - F.length(F.ltrim(after, F.lit("1")))))
+    whole = F.when(F.col("_len") > 0, F.forall(F.sequence(F.lit(0), F.size("_ctx") - 1), lambda t: F.get("_words", F.col("_p") + t) == F.get("_ctx", t)))
+    both = both.withColumn("_ok", F.coalesce(whole, (gram == "1" * k) & (F.col("_l") + F.col("_r") + k >= window), F.lit(False)))
     return both.filter(F.col("_ok") | (F.col("_p") < 0)).select(
         "_id",
         "_same",
         "_n",
-        F.when(F.col("_ok"), F.col("_p") - F.col("_l")).cast("long").alias("_start"),
-        F.when(F.col("_ok"), F.col("_p") + k + F.col("_r")).cast("long").alias("_end"),
-        F.when(F.col("_ok"), F.col("_item")).alias("_item"),
+        F.when(F.col("_ok"), F.col("_off") + F.col("_p") - F.col("_l")).cast("long").alias("_start"),
+        F.when(F.col("_ok"), F.col("_off") + F.col("_p") + k + F.col("_r")).cast("long").alias("_end"),
+        F.when(F.col("_ok"), F.col("_items")).alias("_items"),
         F.when(F.col("_p") < 0, 1).otherwise(0).cast("long").alias("_copies"),
     )
 
 
-def _short_hits(base: DataFrame, block: DataFrame, n: int) -> DataFrame:
-    """Occurrences of whole items of n words."""
-    docs = base.withColumn("_words", words_of(F.col("_text"))).withColumn("_n", F.size("_words"))
-    docs = _hashes(docs, n)
-    docs = docs.select("_id", F.xxhash64("_text").alias("_same"), "_n", "_words", F.posexplode_outer("_h").alias("_p", "_fp"))
-    both = docs.join(F.broadcast(block), F.col("_fp") == F.col("_key"))
-    same = reduce(lambda a, b: a & b, [F.get("_words", F.col("_p") + j) == F.get("_ctx", F.lit(j)) for j in range(n)])
-    return both.filter(same).select("_id", "_same", "_n", F.col("_p").cast("long").alias("_start"), (F.col("_p") + n).cast("long").alias("_end"), "_item", F.lit(0).cast("long").alias("_copies"))
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: whole documents against the whole benchmark."""
     from .common import table
