@@ -1,7 +1,8 @@
 """Media columns: texts as 8-bit audio, and signature sniffing.
 
 Aho-Corasick finds the magic bytes of all formats in one pass; a validator for
-each format then walks its structure and gives its length, or rejects the place.
+each format then walks its structure and gives its length, or rejects the place;
+what it looks for at the end of a file is found once for a payload (`seen`).
 What stands at offset 0 corrects the declared type; what stands elsewhere, and
 outside of what was already carved, is embedded media.
 """
@@ -9,8 +10,10 @@ outside of what was already carved, is embedded media.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +31,7 @@ def wav(payload: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", 36 + len(payload)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, RATE, RATE, 1, 8) + b"data" + struct.pack("<I", len(payload)) + payload
 
 
-def _riff(b: bytes, at: int) -> int | None:
+def _riff(b: bytes, at: int, seen: dict) -> int | None:
     if len(b) - at < 12 or b[at + 8 : at + 12] != b"WAVE":
         return None
     end = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little")
@@ -42,11 +45,11 @@ def _riff(b: bytes, at: int) -> int | None:
     return end - at if x == end and {b"fmt ", b"data"} <= seen else None
 
 
-def _png(b: bytes, at: int) -> int | None:
+def _png(b: bytes, at: int, seen: dict) -> int | None:
     x, first = at + 8, True
     while x + 12 <= len(b):
         n, kind = int.from_bytes(b[x : x + 4], "big"), b[x + 4 : x + 8]
-        if x + 12 + n > len(b) or first != (kind == b"IHDR") or zlib.crc32(b[x + 4 : x + 8 + n]) != int.from_bytes(b[x + 8 + n : x + 12 + n], "big"):
+        if x + 12 + n > len(b) or first != (kind == b"IHDR") or first and n != 13 or zlib.crc32(b[x + 4 : x + 8 + n]) != int.from_bytes(b[x + 8 + n : x + 12 + n], "big"):
             return None
         x, first = x + 12 + n, False
         if kind == b"IEND":
@@ -54,7 +57,7 @@ def _png(b: bytes, at: int) -> int | None:
     return None
 
 
-def _gif(b: bytes, at: int) -> int | None:
+def _gif(b: bytes, at: int, seen: dict) -> int | None:
     if len(b) - at < 13:
         return None
     flags = b[at + 10]
@@ -78,7 +81,7 @@ def _gif(b: bytes, at: int) -> int | None:
     return None
 
 
-def _jpeg(b: bytes, at: int) -> int | None:
+def _jpeg(b: bytes, at: int, seen: dict) -> int | None:
     x, frame = at + 2, False
     while x + 4 <= len(b) and b[x] == 0xFF:
         kind = b[x + 1]
@@ -103,7 +106,7 @@ def _jpeg(b: bytes, at: int) -> int | None:
     return None
 
 
-def _bmp(b: bytes, at: int) -> int | None:
+def _bmp(b: bytes, at: int, seen: dict) -> int | None:
     if len(b) - at < 30:
         return None
     size, pixels, header, width, height, planes, depth = struct.unpack_from("<I4xIIiiHH", b, at + 2)
@@ -112,7 +115,7 @@ def _bmp(b: bytes, at: int) -> int | None:
     return size if at + size <= len(b) and 14 + header <= pixels and pixels + (width * depth + 31) // 32 * 4 * abs(height) <= size else None
 
 
-def _gzip(b: bytes, at: int) -> int | None:
+def _gzip(b: bytes, at: int, seen: dict) -> int | None:
     inflate = zlib.decompressobj(31)
     try:
         for x in range(at, len(b), 1 << 16):
@@ -127,22 +130,32 @@ def _gzip(b: bytes, at: int) -> int | None:
     return None
 
 
-def _pdf(b: bytes, at: int) -> int | None:
-    start = b.find(b"startxref", at)
-    end = b.find(b"%%EOF", start) if start >= 0 else -1
-    return end + 5 - at if end >= 0 else None
-
-
-def _zip(b: bytes, at: int) -> int | None:
-    x = b.find(b"PK\x05\x06", at)
-    while x >= 0 and x + 22 <= len(b):
-        size, offset, comment = struct.unpack_from("<IIH", b, x + 12)
-        if at + offset + size == x and b[at + offset : at + offset + 4] in (b"PK\x01\x02", b"PK\x05\x06") and x + 22 + comment <= len(b):
-            return x + 22 + comment - at
-        x = b.find(b"PK\x05\x06", x + 1)
-    return None
-
-
+def _pdf(b: bytes, at: int, seen: dict) -> int | None:
+    """Up to the last end mark before the next header: updates that were appended belong to the file."""
+    if "pdf" not in seen:
+        seen["pdf"] = [m.end() for m in PDF_END.finditer(b)], [m.start() for m in PDF_HEAD.finditer(b)]
+    ends, heads = seen["pdf"]
+    i = bisect_right(heads, at)
+    last = bisect_right(ends, heads[i] if i < len(heads) else len(b)) - 1
+    return ends[last] - at if last >= 0 and ends[last] > at else None
+
+
+def _zip(b: bytes, at: int, seen: dict) -> int | None:
+    """Up to the end record whose sizes lead back to this place."""
+    if "zip" not in seen:
+        found = seen["zip"] = {}
+        x = b.find(b"PK\x05\x06")
+        while x >= 0 and x + 22 <= len(b):
+            size, offset, comment = struct.unpack_from("<IIH", b, x + 12)
+            start = x - offset - size
+            if start >= 0 and b[start + offset : start + offset + 4] in (b"PK\x01\x02", b"PK\x05\x06") and x + 22 + comment <= len(b):
+                found.setdefault(start, x + 22 + comment)
+            x = b.find(b"PK\x05\x06", x + 1)
+    end = seen["zip"].get(at)
+    return end - at if end is not None else None
+
+
+PDF_HEAD, PDF_END = re.compile(rb"%PDF-"), re.compile(rb"startxref\s+\d+\s+%%EOF")
 FORMATS = {
     b"RIFF": ("audio/wav", _riff),
     b"\x89PNG\r\n\x1a\n": ("image/png", _png),
@@ -167,13 +180,13 @@ class Sniffer:
 
     def parts(self, data: bytes) -> list[tuple[int, int, str]]:
         """(offset, length, type) of validated media: first what begins at 0, then in order what neither lies in a part carved before nor begins at 0."""
-        out, free = [], 0
+        out, free, seen = [], 0, {}
         for end, magic in self.automaton.iter(data.decode("latin-1")):
             at = end + 1 - len(magic)
             if at and at < free:
                 continue
             kind, length_of = FORMATS[magic]
-            if (n := length_of(data, at)) is not None and n > 0:
+            if (n := length_of(data, at, seen)) is not None and n > 0:
                 out.append((at, n, kind))
                 free = max(free, at + n) if at else 0
         return out
