@@ -8,6 +8,7 @@ import json
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -67,6 +68,27 @@ def test_decontaminate(spark, docs_of, odd, block):
     assert decontaminate.decontaminate(docs_of(odd), bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def test_long_documents_take_linear_time(spark):
+    item = " ".join(f"w{i}" for i in range(10))
+    bench = spark.createDataFrame([(1, item), (2, "w3 w4")], "item_id long, text string")
+    took = []
+    for n in (300, 3000, 6000):
+        began = time.perf_counter()
+        row = decontaminate.decontaminate(spark.createDataFrame([(1, " x ".join([item] * n))], "doc_id long, text string"), bench).first()
+        took.append(time.perf_counter() - began)
+        assert (row.n_words, row.n_hit, len(row.spans), list(row["items"])) == (11 * n - 1, 10 * n, n, ["1", "2"])
+    assert took[2] < 3 * took[1] + 2
+
+
+def test_windows_across_stretches(spark):
+    rng = random.Random(5)
+    words = [f"v{rng.randrange(50)}" for _ in range(5000)]
+    items = [(i, " ".join(words[a : a + n])) for i, (a, n) in enumerate([(1015, 10), (1020, 30), (2040, 12), (2047, 3), (3071, 10), (4990, 10), (0, 11)])]
+    docs = [(1, " ".join(words)), (2, " ".join(words[:1033])), (3, " ".join(words[:1034]))]
+    got = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got), key=str) == brute_hits(docs, items)
+
+
 # 2
 
 
@@ -230,6 +252,36 @@ def test_media(spark, docs_of, odd, tmp_path):
     assert media.sniffed(spark.read.parquet(str(tmp_path / "m"))).filter("kind = 'audio/wav'").count() == len(docs)
 
 
+def test_media_by_brute_force(spark, docs_of, odd, tmp_path):
+    media.store(docs_of(odd), str(tmp_path / "m"))
+    rows = media.in_batches(spark.read.parquet(str(tmp_path / "m")), media._features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    want = []
+    for i, t in odd:
+        b = (t or "").encode()
+        p = b + bytes(-len(b) % 64 or (0 if b else 64))
+        whole = b"RIFF" + struct.pack("<I", 36 + len(p)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", len(p)) + p
+        energy = sum((x - 128) ** 2 for x in p)
+        sign = [(x > 128) - (x < 128) for x in p]
+        crossings = sum(x != y for x, y in itertools.pairwise(sign))
+        want.append((i, hashlib.sha256(whole).hexdigest(), f"audio/wav;energy={energy};crossings={crossings};embedded="))
+    assert sorted(((r.doc_id, r.media_sha256, r.feature) for r in rows.collect()), key=str) == sorted(want, key=str)
+
+
+def test_sniffing_takes_linear_time():
+    s, took = media.Sniffer(), []
+    for n in (20_000, 80_000):
+        data = b"%PDF-1 PK\x03\x04 " * n + b"startxref 1 %%EOF PK\x05\x06" + bytes(18)
+        began = time.perf_counter()
+        assert s.parts(data)[-1][2] == "application/pdf"
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0] + 1
+
+
+def test_updated_pdf_is_whole():
+    one = b"%PDF-1.4 a startxref 0 %%EOF more startxref\n9\n%%EOF"
+    assert media.Sniffer().parts(one + b" x " + one) == [(0, len(one), "application/pdf"), (len(one) + 3, len(one), "application/pdf")]
+
+
 def png():
     chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
@@ -330,6 +382,38 @@ def test_secrets(spark, docs_of, odd):
     assert secret_scan.scan(docs_of([]), model).count() == 0
 
 
+def test_secret_spans_by_brute_force(spark, docs_of, odd):
+    rng = random.Random(12)
+    strange = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-", k=n))
+    docs = odd + [(60 + i, " ".join(rng.choice([strange(rng.randint(5, 60)), "0" * 30, "some_ordinary_identifier", "\U0001f600é", f"token={strange(8)}", "x"]) for _ in range(60))) for i in range(20)]
+    model = secret_scan.train(secret_scan.random_samples(spark), secret_scan.identifier_samples(docs_of(documents(spark))))
+    place = {c: i for i, c in enumerate(secret_scan.CLASSES)}
+
+    def score(word):
+        c = [place.get(x, 0) for x in word]
+        return sum(model[a * secret_scan.SIZE + b] for a, b in itertools.pairwise(c))
+
+    def brute(t):
+        base = brute_base(t)
+        runs = [(m.start(), 3, "markov", m.end()) for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", t) if score(m[0]) > secret_scan.THRESHOLD]
+        return sorted(base + [r for r in runs if not any(b[0] < r[3] and b[3] > r[0] for b in base)])
+
+    got = secret_scan.scan(docs_of(docs), model).collect()
+    assert sorted(((r.doc_id, [tuple(s) for s in r.spans]) for r in got), key=str) == sorted(((i, brute(t or "")) for i, t in docs), key=str)
+    assert sum(s.kind == "markov" for r in got for s in r.spans) > 50
+
+
+def test_many_secrets_take_linear_time(spark, docs_of):
+    took = []
+    for n in (200, 10_000, 20_000):
+        text = " ".join(f"{i:032x} token=ab{i:06d} Qz{i:020d}" for i in range(n))
+        began = time.perf_counter()
+        row = secret_scan.scan(docs_of([(1, text)]), [0.0] * secret_scan.SIZE**2).select(F.size("base")).first()
+        took.append(time.perf_counter() - began)
+        assert row[0] == 2 * n
+    assert took[2] < 3 * took[1] + 2
+
+
 def test_markov_tells_held_out_strings(spark):
     model = secret_scan.train(secret_scan.random_samples(spark), secret_scan.identifier_samples(spark.read.parquet(f"{SF}/documents.parquet")))
     rng = random.Random(9)
