@@ -1,7 +1,7 @@
 """Benchmark decontamination by winnowing, in DataFrame functions only.
 
 Every k-gram of words is hashed; from each run of w = window - k + 1 hashes the
-least is kept, with its place (of equal ones all).  A shared span of `window` words holds such a run on both sides,
+least is kept.  A shared span of `window` words holds such a run on both sides,
 so both sides keep the same k-gram of it: the join on kept hashes misses no
 window.  Each joint fingerprint is then extended word by word, at most w - 1
 words to either side, and counts if the run has `window` words.  The words
@@ -72,19 +72,14 @@ def _stretches(docs: DataFrame, overlap: int, length: int = STRETCH) -> DataFram
 
 
 def _fingerprinted(df: DataFrame, k: int, w: int) -> DataFrame:
-    """df, which has _words, with _h and _at, the places of kept hashes: those that are the least of some run of w that they are in.
+    """df, which has _words, with _h and _fps, the distinct kept hashes.  Each step refers to the one before more than once, so Catalyst keeps them apart."""
+    df = _runs(_hashes(df, k), "_h", F.greatest(F.size("_words") - (k - 1), F.lit(0)), w, "_m", lambda x, y: F.least(x, y))
+    return df.withColumn("_fps", F.array_distinct("_m")).drop("_m")
 
-    The least of a run is at most the hash; a place is kept if the greatest of
-    the leasts of its runs is the hash itself.  Each step refers to the one
-    before more than once, so Catalyst keeps them apart.
-    """
-    df = _hashes(df, k).withColumn("_k", F.greatest(F.size("_words") - (k - 1), F.lit(0)))
-    df = _runs(df, "_h", F.col("_k"), w, "_m", lambda x, y: F.least(x, y))
-    edge = F.array_repeat(F.lit(-(1 << 63)), w - 1)
-    df = _runs(df.withColumn("_m", F.concat(edge, "_m", edge)), "_m", F.size("_m"), w, "_c", lambda x, y: F.greatest(x, y))
-    # zip_with takes the two columns as they are; in a lambda over places Catalyst would compute _c anew for each
-    kept = F.filter(F.transform(F.zip_with("_h", "_c", lambda x, y: x == y), lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
-    return df.withColumn("_at", F.when(F.col("_k") >= w, kept).otherwise(F.array().cast("array<int>"))).drop("_k", "_m", "_c")
+
+def _places(hashes: str, key: str) -> Column:
+    """Where the hash stands; few fingerprints have a partner, so places are looked up after the join, in a stretch."""
+    return F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), lambda i: F.get(hashes, i) == F.col(key))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, k: int = 7, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -105,8 +100,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = items.withColumn("_words", words_of(F.col("_text"))).withColumn("_n", F.size("_words"))
     span = window + w - 1  # k-gram with w - 1 words on either side
     grams = _fingerprinted(items.filter(F.col("_n") >= window).select("_item", "_words"), k, w)
-    grams = grams.withColumn("_q", F.explode_outer("_at")).select(
-        F.lit(0).alias("_len"), F.get("_h", "_q").alias("_key"), "_item", F.transform(F.sequence(F.lit(0), F.lit(span - 1)), lambda t: F.get("_words", F.col("_q") - (w - 1) + t)).alias("_ctx")
+    grams = grams.withColumn("_key", F.explode_outer("_fps")).withColumn("_q", F.explode_outer(_places("_h", "_key"))).select(
+        F.lit(0).alias("_len"), "_key", "_item", F.transform(F.sequence(F.lit(0), F.lit(span - 1)), lambda t: F.get("_words", F.col("_q") - (w - 1) + t)).alias("_ctx")
     )
     short = items.filter((F.col("_n") > 0) & (F.col("_n") < window))
     lengths = sorted(r[0] for r in short.select("_n").distinct().collect())  # at most window - 1 values
@@ -151,23 +146,23 @@ def _blocks(df: DataFrame, key: str, block_rows: int) -> list[DataFrame]:
 def _hits(base: DataFrame, block: DataFrame, k: int, w: int, window: int, lengths: list[int], markers: bool) -> DataFrame:
     """Occurrences of windows of 10 words (_len 0), found by kept hashes and extended, and of whole shorter items, found by the hashes of all their places; from one reading of the documents."""
     docs = _fingerprinted(_stretches(base, window - 1), k, w)
-    place = lambda n: lambda p: F.struct(F.lit(n).alias("n"), p.cast("int").alias("p"))
-    at = [F.transform("_at", place(0))]
-    key = F.when(F.col("_at.n") == 0, F.get("_h", F.col("_at.p")))
+    print_ = lambda n: lambda h: F.struct(F.lit(n).alias("n"), h.alias("h"))
+    none = F.array().cast("array<struct<n:int,h:bigint>>")
+    fps, places = [F.transform("_fps", print_(0))], F.when(F.col("_len") == 0, _places("_h", "_key"))
     for n in lengths:
         docs = _hashes(docs.withColumnRenamed("_h", "_long"), n).withColumnRenamed("_h", f"_h{n}").withColumnRenamed("_long", "_h")
-        at.append(F.when(F.size("_words") >= n, F.transform(F.sequence(F.lit(0), F.size("_words") - n), place(n))).otherwise(F.array().cast("array<struct<n:int,p:int>>")))
-        key = key.when(F.col("_at.n") == n, F.get(f"_h{n}", F.col("_at.p")))
+        fps.append(F.transform(F.array_distinct(f"_h{n}"), print_(n)))
+        places = places.when(F.col("_len") == n, _places(f"_h{n}", "_key"))
     if markers:  # one row for each document besides its fingerprints, so that it is there without any hit
-        at.append(F.when(F.col("_off") == 0, F.array(place(-1)(F.lit(-1)))).otherwise(F.array().cast("array<struct<n:int,p:int>>")))
-        key = key.when(F.col("_at.n") == -1, F.lit(MARK))
-        none = block.sparkSession.range(1).select(F.lit(-1).alias("_len"), F.lit(MARK).alias("_key"), F.lit(None).cast("array<string>").alias("_ctx"), F.lit(None).cast("array<string>").alias("_items"))
-        block = block.unionByName(none)
+        fps.append(F.when(F.col("_off") == 0, F.array(print_(-1)(F.lit(MARK)))).otherwise(none))
+        places = places.otherwise(F.array(F.lit(-1)))
+        mark = block.sparkSession.range(1).select(F.lit(-1).alias("_len"), F.lit(MARK).alias("_key"), F.lit(None).cast("array<string>").alias("_ctx"), F.lit(None).cast("array<string>").alias("_items"))
+        block = block.unionByName(mark)
     # explode_outer, not explode: for the latter Catalyst infers a filter on the array's size, which it pushes
     # below the projections, so that the nested arrays are computed anew for each element of the outer ones
-    docs = docs.withColumn("_at", F.explode_outer(F.concat(*at) if len(at) > 1 else at[0])).withColumn("_fp", key)
-    # an inner join: what has no partner goes before anything is copied, the words of the document above all
-    both = docs.join(F.broadcast(block), (F.col("_fp") == F.col("_key")) & (F.col("_at.n") == F.col("_len"))).withColumn("_p", F.col("_at.p"))
+    docs = docs.withColumn("_fp", F.explode_outer(F.concat(*fps) if len(fps) > 1 else fps[0]))
+    # an inner join: what has no partner goes before anything is copied, the words of the stretch above all
+    both = docs.join(F.broadcast(block), (F.col("_fp.h") == F.col("_key")) & (F.col("_fp.n") == F.col("_len"))).withColumn("_p", F.explode_outer(places))
     same = F.transform(F.sequence(F.lit(0), F.lit(window + w - 2)), lambda t: F.when(F.get("_words", F.col("_p") - (w - 1) + t) == F.get("_ctx", t), "1").otherwise("0"))
     both = both.withColumn("_bits", F.when(F.col("_len") == 0, F.array_join(same, "")))
     before, gram, after = F.substring("_bits", 1, w - 1), F.substring("_bits", w, k), F.substring("_bits", w + k, w - 1)
