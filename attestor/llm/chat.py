@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import in_batches, stored, table
 
 START, AFTER_SYSTEM, AFTER_USER, AFTER_ASSISTANT = range(4)
 ROLES = ("system", "user", "assistant")
@@ -161,7 +161,7 @@ def repair(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "t
     order = ["conv", "turn", "role", "tie", "row"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("conv", "turn", "role", "text")
-    rows = stored(rows.mapInArrow(_numbered, "conv long, turn long, role string, text string, part int, seq long"), "turns")
+    rows = stored(in_batches(rows, _numbered, "conv long, turn long, role string, text string, part int, seq long"), "turns")
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(parts, "part").sortWithinPartitions("part", "seq")
@@ -184,7 +184,7 @@ def repair(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "t
             out = [(p, c, [x for row in product(v[0]) for x in row]) for p, c, v in _runs(batches, ["role"])]
             yield pa.record_batch([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int64()))], names=["part", "conv", "m"])
 
-        folded = {(r["part"], r["conv"]): r["m"] for r in dealt(edge).mapInArrow(fold, "part int, conv long, m array<long>").collect()}
+        folded = {(r["part"], r["conv"]): r["m"] for r in in_batches(dealt(edge), fold, "part int, conv long, m array<long>").collect()}
         last: dict = {}
         for c, ps in chains.items():
             costs = FIRST
@@ -201,13 +201,13 @@ def repair(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "t
                 out.append((p, c, [trace(back, q)[0] if costs[q] < FAR else -1 for q in range(4)]))
             yield pa.record_batch([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int64()))], names=["part", "conv", "m"])
 
-        turned = {(r["part"], r["conv"]): r["m"] for r in dealt(edge).mapInArrow(turn_back, "part int, conv long, m array<long>").collect()}
+        turned = {(r["part"], r["conv"]): r["m"] for r in in_batches(dealt(edge), turn_back, "part int, conv long, m array<long>").collect()}
         for c, ps in chains.items():
             q = last[c]
             for i, p in enumerate(reversed(ps)):
                 exits[p, c] = (q, i == 0)
                 q = turned[p, c][q]
-    return dealt(rows).mapInArrow(_rendering(entries, exits), "part int, seq long, conv long, turn long, role string, new_role string, action string, inserted array<string>, appended array<string>, cost int, rendered string")
+    return in_batches(dealt(rows), _rendering(entries, exits), "part int, seq long, conv long, turn long, role string, new_role string, action string, inserted array<string>, appended array<string>, cost int, rendered string")
 
 
 def _rendering(entries: dict, exits: dict):

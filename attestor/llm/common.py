@@ -65,13 +65,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Rows and bytes of a batch that goes to Python; several copies of one are alive at a time, in each worker.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": (2000, "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": (8 << 20, "8m")}
 
 
 def in_batches(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow in batches of bounded size; what a task's batches held goes back to the system at its end."""
-    for key, value in BATCH.items():
-        df.sparkSession.conf.set(key, value)
+    """df.mapInArrow in batches of bounded size; what a task's batches held goes back to the system at its end.
+
+    Spark reads the size of batches from the session when the plan runs, so the
+    session keeps these settings; lesser ones that it has stay.
+    """
+    conf = df.sparkSession.conf
+    for key, (most, given) in BATCH.items():
+        now = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(key, None) or "0")
+        if not 0 < now <= most:
+            conf.set(key, given)
 
     def bounded(batches):
         try:
