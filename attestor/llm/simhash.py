@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, in_batches, stored, table
+from .common import column, in_batches, stored, table, unused
 
 #: Most distinct fingerprints of a bucket that are gathered.
 GROUP = 10_000
@@ -122,7 +122,7 @@ def links(distinct: DataFrame, radius: int = 3, group: int = GROUP) -> DataFrame
     dealt = distinct.select("fp", F.explode(tables).alias("t")).select("fp", "t.m", "t.key")
     counts = dealt.groupBy("m", "key").count().filter("count > 1")
     small = dealt.join(counts.filter(F.col("count") <= group).drop("count"), ["m", "key"]).groupBy("m", "key").agg(F.collect_list("fp").alias("fps"))
-    edges = small.select("fps").mapInArrow(_bucket_edges(radius), "u long, v long")
+    edges = in_batches(small.select("fps"), _bucket_edges(radius), "u long, v long")
     large = counts.filter(F.col("count") > group).drop("count")
     if large.isEmpty():
         return edges.distinct()
@@ -180,12 +180,13 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs, all columns, one row of each component: the least id's (of equal ids the least text hash's, of equal rows any)."""
     found = stored(cluster(docs, id_col, text_col, **how), "clusters")
-    kept = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "same")).alias("k")).select(F.col("k.id").alias("_kid"), F.col("k.same").alias("_ksame"))
+    kid, ksame, same = unused(docs, "_kid", "_ksame", "_same")
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "same")).alias("k")).select(F.col("k.id").alias(kid), F.col("k.same").alias(ksame))
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    out = docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("_kid")) & (key == F.col("_ksame")), "left_semi")
+    out = docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col(kid)) & (key == F.col(ksame)), "left_semi")
     if found.groupBy("id", "same").count().filter("count > 1").isEmpty():
         return out
-    return out.withColumn("_same", key).dropDuplicates([id_col, "_same"]).drop("_same")
+    return out.withColumn(same, key).dropDuplicates([id_col, same]).drop(same)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
