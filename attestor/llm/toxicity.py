@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 A linear classifier over hashed words and word beginnings is trained in numpy
-from confirmed toxic documents and unlabelled ones.  The risk is corrected by
+from confirmed toxic documents and ones whose labels are not looked at.  The risk is corrected by
 the class prior p: p R+(positives) + max(0, R-(unlabelled) - p R-(positives));
 where the second term would be negative, the step goes against it instead, so
 the classifier can't fit the unlabelled documents as if all were clean.
@@ -18,15 +18,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_codes, gather, in_batches, slices, table, text_parts
+from .common import chunk_codes, gather, in_batches, stored, table, text_parts
 
 #: Feature space, and the lengths of word beginnings that are features besides whole words.
 BITS, PREFIXES = 18, (4, 5, 6, 7)
-#: Most documents that training reads: confirmed toxic, unlabelled, and labelled ones of the calibration fold.  Each by least seeded hash.
+#: Most labelled documents that training reads: confirmed toxic ones, ones whose label is not looked at, and ones of the calibration fold.  Each by least seeded hash.
 POSITIVES, UNLABELLED, CALIBRATION = 2_000, 4_000, 4_000
+#: What a sampled document is for.
+POSITIVE, ANY, CHECK = 0, 1, 2
 #: Of the folds by crc32 of the id as text, the first is held out and the second only calibrates the score.
 FOLDS, HELD_OUT, CALIBRATES = 5, 0, 1
-#: A feature is in this share of the positives at least (and in 3), and in at most that share of the unlabelled.
+#: A feature is in this share of the positives at least (and in 3), and in at most that share of clean documents.
 LEAST, MOST = 0.02, 0.25
 NORM = 0.4
 EDGES = ".,;:!?\"'()[]{}<>*_-"
@@ -65,40 +67,41 @@ class Features:
         return row, pair & ((1 << BITS) - 1), np.log1p(n) / np.maximum(1, np.diff(rows))[row] ** NORM
 
 
-def _sample_rows(texts: list[str], keep: np.ndarray | None = None):
-    """Features.rows of a list of texts, in parts."""
-    features = Features(keep)
-    for a, b in slices(np.fromiter(map(len, texts), np.int64, len(texts)), 1 << 19):
-        row, col, val = features.rows(pa.array(texts[a:b], pa.large_string()))
-        yield row + a, col, val
+class Sparse:
+    """Rows of (feature, value) pairs: row, col and val one after another, n rows."""
 
+    def __init__(self, rows: list[tuple[bytes, bytes]]) -> None:
+        cols = [np.frombuffer(c, np.int32) for c, _ in rows]
+        self.n = len(rows)
+        self.row = np.repeat(np.arange(self.n), [len(c) for c in cols]).astype(np.int64)
+        self.col = np.concatenate([np.zeros(0, np.int32), *cols]).astype(np.int64)
+        self.val = np.concatenate([np.zeros(0), *(np.frombuffer(v) for _, v in rows)])
 
-def _matrix(texts: list[str], keep: np.ndarray):
-    parts = list(_sample_rows(texts, keep)) or [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    def scores(self, w: np.ndarray, b: float) -> np.ndarray:
+        return np.bincount(self.row, w[self.col] * self.val, self.n) + b
 
+    def spread(self, d: np.ndarray, size: int) -> np.ndarray:
+        """Derivative by weight, of derivatives by score."""
+        return np.bincount(self.col, d[self.row] * self.val, size)
 
-def train(positives: list[str], unlabelled: list[str], prior: float, steps: int = 100, rate: float = 0.3, decay: float = 5e-4) -> tuple[np.ndarray, float]:
+
+def risk(w: np.ndarray, b: float, pos: Sparse, unl: Sparse, prior: float, decay: float) -> tuple[float, float, np.ndarray, float]:
+    """The positive part (with decay), the negative part, and the gradient by weight and bias of the step to take: of their sum where the negative part is not negative, else of its reverse."""
+    zp, zu = pos.scores(w, b), unl.scores(w, b)
+    sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
+    positive = prior * np.logaddexp(0, -zp).sum() / pos.n + decay * (w * w).sum() / 2
+    negative = np.logaddexp(0, zu).sum() / unl.n - prior * np.logaddexp(0, zp).sum() / pos.n
+    dp, du = -prior * sp / pos.n, su / unl.n  # of the negative part
+    dp, du = (dp - prior * (1 - sp) / pos.n, du) if negative >= 0 else (-dp, -du)
+    return positive, negative, pos.spread(dp, len(w)) + unl.spread(du, len(w)) + decay * w, dp.sum() + du.sum()
+
+
+def train(pos: Sparse, unl: Sparse, prior: float, steps: int = 100, rate: float = 0.3, decay: float = 5e-4) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk with logistic loss, by full-batch Adagrad from zero: the same data give the same model."""
-    size = 1 << BITS
-    in_p, in_u = (sum((np.bincount(col, minlength=size) for _, col, _ in _sample_rows(x)), np.zeros(size, np.int64)) for x in (positives, unlabelled))
-    keep = (in_p >= max(3, LEAST * len(positives))) & (in_u <= MOST * len(unlabelled))
-    (rp, cp, vp), (ru, cu, vu) = _matrix(positives, keep), _matrix(unlabelled, keep)
-    n_p, n_u = len(positives), len(unlabelled)
-    w, b = np.zeros(size), float(np.log(prior / (1 - prior)))
-    gw2, gb2 = np.full(size, 1e-8), 1e-8
+    w, b = np.zeros(1 << BITS), float(np.log(prior / (1 - prior)))
+    gw2, gb2 = np.full(len(w), 1e-8), 1e-8
     for _ in range(steps):
-        zp, zu = np.bincount(rp, w[cp] * vp, n_p) + b, np.bincount(ru, w[cu] * vu, n_u) + b
-        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-        negative = np.logaddexp(0, zu).sum() / n_u - prior * np.logaddexp(0, zp).sum() / n_p
-        # derivatives by score: of the positive part, and of the negative part or its reverse
-        dp, du, dn = -prior * (1 - sp) / n_p, su / n_u, -prior * sp / n_p
-        if negative >= 0:
-            dp = dp + dn
-        else:
-            dp, du = -dn, -du
-        g = np.bincount(cp, dp[rp] * vp, size) + np.bincount(cu, du[ru] * vu, size) + decay * w
-        gb = dp.sum() + du.sum()
+        _, _, g, gb = risk(w, b, pos, unl, prior, decay)
         gw2 += g * g
         gb2 += gb * gb
         w -= rate * g / np.sqrt(gw2)
@@ -126,46 +129,81 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a / scale, c - a * mid / scale
 
 
-def _raw(texts: list[str], w: np.ndarray, b: float) -> np.ndarray:
-    row, col, val = _matrix(texts, w != 0)
-    return np.bincount(row, w[col] * val, len(texts)) + b
-
-
 def fold(id_col: str = "doc_id"):
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(FOLDS))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 42) -> dict | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 42, positives: int = POSITIVES, unlabelled: int = UNLABELLED, calibration: int = CALIBRATION) -> dict | None:
     """The model, or None without any confirmed toxic document to learn from.
 
-    Reads at most POSITIVES + UNLABELLED + CALIBRATION documents, whole, those
-    with the least seeded hash of the id; rows with a null id or in the held-out
-    fold are not among them.  Of several labels of a document the greatest counts.
+    Learns from at most positives + unlabelled + calibration labelled documents,
+    whole, those with the least seeded hash of the id; rows with a null id or in
+    the held-out fold are not among them.  Of several labels of a document the
+    greatest counts; different texts of one id are documents of their own,
+    repeated rows are one.  Texts stay in the tasks: the driver gets counts of
+    features, then the numbers of those kept.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).filter(F.col("_id").isNotNull())
-    rows = rows.withColumn("_fold", fold("_id")).filter(F.col("_fold") != HELD_OUT).withColumn("_order", F.xxhash64(F.lit(seed), "_id"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(F.col("_id").isNotNull())
+    rows = rows.withColumn("_fold", fold("_id")).filter(F.col("_fold") != HELD_OUT).withColumn("same", F.xxhash64("text"))
     marks = labels.select(F.col(id_col).alias("_lid"), F.col(label_col).cast("int").alias("_y")).filter("_y is not null").groupBy("_lid").agg(F.max("_y").alias("_y"))
-    marked = rows.select("_id", "_fold", "_order").dropDuplicates(["_id"]).join(marks, F.col("_id") == F.col("_lid"))
-    shares = {r["_cal"]: r for r in marked.groupBy((F.col("_fold") == CALIBRATES).alias("_cal")).agg(F.avg("_y").alias("share"), F.sum("_y").alias("n")).collect()}
+    marked = rows.select("_id", "same", "_fold").distinct().join(marks, F.col("_id") == F.col("_lid")).withColumn("place", F.xxhash64(F.lit(seed), "_id"))
+    marked = stored(marked.select("_id", "same", "_y", "place", (F.col("_fold") == CALIBRATES).alias("_cal")), "marked")
+    shares = {r["_cal"]: r for r in marked.groupBy("_cal").agg(F.avg("_y").alias("share"), F.sum("_y").alias("n")).collect()}
     if not shares.get(False) or not shares[False]["n"]:
         return None
     prior = min(0.9, max(0.001, shares[False]["share"]))
 
-    def least(ids: DataFrame, most: int) -> DataFrame:
-        """Ids of the `most` rows first in order, without their texts."""
-        return ids.orderBy("_order", "_id").limit(most)
+    def least(ids: DataFrame, use: int, most: int) -> DataFrame:
+        return ids.orderBy("place", "_id", "same").limit(most).select(F.col("_id").alias("_k"), F.col("same").alias("_s"), "place", F.lit(use).alias("use"), F.col("_y").alias("y"))
+
+    learn = marked.filter(~F.col("_cal"))
+    chosen = least(learn.filter("_y = 1"), POSITIVE, positives).unionByName(least(learn, ANY, unlabelled)).unionByName(least(marked.filter("_cal"), CHECK, calibration))
+    few = rows.join(F.broadcast(chosen), (F.col("_id") == F.col("_k")) & (F.col("same") == F.col("_s")))
+    few = stored(few.select("_id", "same", "place", "use", "y", "text").dropDuplicates(["_id", "same", "use"]).drop("_id"), "sample")
+    size = {r["use"]: r["count"] for r in few.groupBy("use").count().collect()}
+    n = lambda use: F.coalesce(F.sum(F.when(F.col("use") == use, F.col("n"))), F.lit(0))
+    counts = in_batches(few.filter(F.col("use") != CHECK).select("use", "text"), _counts, "use int, feature int, n long").groupBy("feature").agg(n(POSITIVE).alias("p"), n(ANY).alias("u"))
+    clean = (F.col("u") / size[ANY] - prior * F.col("p") / size[POSITIVE]) / (1 - prior)  # the share of clean documents, by the same correction
+    kept = counts.filter((F.col("p") >= max(3, LEAST * size[POSITIVE])) & (clean <= MOST)).select("feature").collect()
+    keep = np.zeros(1 << BITS, bool)
+    keep[[r["feature"] for r in kept]] = True
+    shipped = docs.sparkSession.sparkContext.broadcast(np.packbits(keep).tobytes())
+    found = in_batches(few, _numbers(shipped), "use int, place long, same long, y int, cols binary, vals binary").collect()
+    parts = {use: sorted((r for r in found if r["use"] == use), key=lambda r: (r["place"], r["same"])) for use in (POSITIVE, ANY, CHECK)}
+    pos, unl, check = (Sparse([(bytes(r["cols"]), bytes(r["vals"])) for r in parts[use]]) for use in (POSITIVE, ANY, CHECK))
+    w, b = train(pos, unl, prior)
+    slope, offset = calibrate(check.scores(w, b), np.array([int(r["y"] > 0) for r in parts[CHECK]])) if check.n else (1.0, 0.0)
+    return {"weights": (w * slope).astype(np.float32).tobytes(), "bias": float(b * slope + offset)}
+
 
-    def texts(ids: DataFrame, *more: str) -> list:
-        few = rows.join(F.broadcast(ids.select(F.col("_id").alias("_k"), *more)), F.col("_id") == F.col("_k"))
-        return few.dropDuplicates(["_id"]).orderBy("_order", "_id").select("_text", *more).collect()
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each use, in how many of the texts a feature is."""
+    features, n = Features(), np.zeros((2, 1 << BITS), np.int64)
+    for batch in batches:
+        for a, b, texts in text_parts(batch, most=1 << 19):
+            row, col, _ = features.rows(texts)
+            use = batch.column("use").slice(a, b - a).to_numpy()
+            for u in (POSITIVE, ANY):
+                n[u] += np.bincount(col[use[row] == u], minlength=1 << BITS)
+    for u in (POSITIVE, ANY):
+        at = np.nonzero(n[u])[0]
+        yield pa.record_batch([pa.array(np.full(len(at), u, np.int32)), pa.array(at.astype(np.int32)), pa.array(n[u][at])], names=["use", "feature", "n"])
 
-    learn = F.col("_fold") != CALIBRATES
-    positives = [r[0] for r in texts(least(marked.filter(learn & (F.col("_y") == 1)), POSITIVES))]
-    unlabelled = [r[0] for r in texts(least(rows.filter(learn).select("_id", "_order").dropDuplicates(["_id"]), UNLABELLED))]
-    w, b = train(positives, unlabelled, prior)
-    known = texts(least(marked.filter(~learn), CALIBRATION), "_y")
-    slope, offset = calibrate(_raw([r[0] for r in known], w, b), np.array([int(r[1] > 0) for r in known])) if known else (1.0, 0.0)
-    return {"weights": (w * slope).astype(np.float32).tobytes(), "bias": float(b * slope + offset)}
+
+def _numbers(keep):
+    """Kept features of each text and their values, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features(np.unpackbits(np.frombuffer(keep.value, np.uint8)).astype(bool))
+        for batch in batches:
+            for a, b, texts in text_parts(batch, most=1 << 19):
+                row, col, val = features.rows(texts)
+                ends = np.searchsorted(row, np.arange(b - a + 1))
+                pieces = [[x[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)] for x in (col.astype(np.int32), val)]
+                same = [batch.column(c).slice(a, b - a) for c in ("use", "place", "same", "y")]
+                yield pa.record_batch([*same, *(pa.array(p, pa.binary()) for p in pieces)], names=["use", "place", "same", "y", "cols", "vals"])
+
+    return run
 
 
 class Scorer:
