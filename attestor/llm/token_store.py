@@ -7,13 +7,16 @@ most `group_bytes`, pages at most `page_rows` rows, and each has its index, so a
 read of some doc_ids or of n_tokens alone skips the ids.
 
 Encoding: a pre-tokeniser that drops white space splits there in any case, so
-the ids of a text are those of its white-space-delimited chunks.  Each distinct
+the ids of a text are those of its white-space-delimited chunks; by_chunk() tells
+whether a tokenizer is of this kind, and texts of others are encoded whole.  Each distinct
 chunk of a batch goes through the tokenizers library once, in joined strings,
 and the most frequent ones stay in a bounded cache of the worker.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,6 +33,9 @@ from .common import chunk_codes, gather, in_batches, scratch, slices, table, tex
 CACHE = 200_000
 TOKENIZER = "word_bpe_49k.json"
 
+#: Bytes of input, as Catalyst estimates them, for which there is a partition at least; and where that stops, as an estimate may be far off.
+PART_BYTES, MOST_PARTS = 256 << 20, 500_000
+
 _encoders: dict = {}
 
 
@@ -45,8 +51,32 @@ def tokenizer_json(name: str = TOKENIZER) -> str:
         return f.read()
 
 
+#: Normalisers that change nothing across white space.
+PLAIN = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "Replace"}
+
+
+def by_chunk(spec: str) -> tuple[bool, bool]:
+    """Whether the ids of a text are those of its white-space-delimited chunks, and whether letters are lower-cased, by what the tokenizer says of itself.
+
+    True only where the normaliser is of known kinds (replacing nothing but
+    white space by a space) and the first pre-tokeniser drops white space:
+    by its kind, or as it keeps just what a pattern matches that can't match any.
+    """
+    steps = lambda x, of: [] if not x else x[of] if x["type"] == "Sequence" else [x]
+    told = json.loads(spec)
+    norms, pres = steps(told.get("normalizer"), "normalizers"), steps(told.get("pre_tokenizer"), "pretokenizers")
+    plain = all(n["type"] in PLAIN and (n["type"] != "Replace" or (n["pattern"].get("Regex"), n["content"]) == (r"\s+", " ")) for n in norms)
+    first = pres[0] if pres else {"type": None}
+    drops = first["type"] in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer")
+    if first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"]:
+        rest = re.sub(r"\[\^[^\]]*\\s[^\]]*\]", "", first["pattern"].get("Regex", "."))  # classes that leave white space out
+        drops = not re.search(r"\\s|\\S|\\[WDPX]|\[\^|\.|[ \t\n]|\(\?", rest)
+    strips = any(t.get("lstrip") or t.get("rstrip") for t in told.get("added_tokens") or [])
+    return plain and drops and not strips and (told.get("post_processor") or told.get("truncation") or told.get("padding")) is None, any(n["type"] == "Lowercase" for n in norms)
+
+
 class ChunkEncoder:
-    """Ids of texts, by distinct chunk; for tokenizers that drop white space and whose pieces never span it."""
+    """Ids of texts, by distinct chunk where the tokenizer drops white space and no piece spans it; else of whole texts."""
 
     def __init__(self, spec: str, cache: int = CACHE) -> None:
         import os
@@ -55,18 +85,22 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room = Tokenizer.from_str(spec), cache
+        self.chunked, self.lowers = by_chunk(spec)
         # ids of remembered chunks one after another, and for each its place and number of ids
         self.slots: dict[str, int] = {}
         self.ids, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one text after another, and where each text begins (one more at the end)."""
+        if not self.chunked:
+            parts = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int32) for t in texts.to_pylist()]
+            return np.concatenate([np.zeros(0, np.int32), *parts]), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
         rows, codes, distinct = chunk_codes(texts)
         if not len(distinct):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        # ASCII letters are lower-cased by the tokenizer; doing it here makes fewer chunks
+        # where ASCII letters are lower-cased by the tokenizer, doing it here makes fewer chunks
         plain = pc.and_(pc.string_is_ascii(distinct), pc.invert(pc.match_substring(distinct, "<")))
-        folded = pc.if_else(plain, pc.ascii_lower(distinct), distinct).dictionary_encode()
+        folded = (pc.if_else(plain, pc.ascii_lower(distinct), distinct) if self.lowers else distinct).dictionary_encode()
         codes = folded.indices.to_numpy().astype(np.int64)[codes]
         starts, lengths, flat = self._look_up(folded.dictionary.to_pylist())
         ids, begins = gather(starts, lengths, flat, codes)
@@ -129,8 +163,11 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     spec = spark.sparkContext.broadcast(tokenizer_json(tokenizer))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    # equal rows may be many; their number among all rows deals them out, as any order of them is the same
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // PART_BYTES), MOST_PARTS))
+    rows = rows.repartitionByRange(parts, "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     in_batches(rows, _encoding(spec, end_id), "doc_id long, part int, first long, n_tokens int, ids array<int>").write.option("parquet.block.size", group_bytes).option("parquet.page.row.count.limit", page_rows).option("parquet.enable.dictionary", "true").option(
         "compression", "zstd"
     ).parquet(path)
