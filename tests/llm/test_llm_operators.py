@@ -8,6 +8,7 @@ import json
 import random
 import re
 import struct
+import tempfile
 import time
 import zlib
 
@@ -106,6 +107,17 @@ def test_tokens(spark, docs_of, odd):
     assert token_store.digest(docs_of([])).count() == 0
 
 
+def test_tokenizers_that_keep_spaces(spark, docs_of, odd):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    name = "byte_bpe_50k.json"
+    assert token_store.by_chunk(token_store.tokenizer_json()) == (True, True) and not token_store.by_chunk(token_store.tokenizer_json(name))[0]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+    want = sorted(((i, len(e), zlib.crc32(struct.pack(f"<{len(e)}I", *e))) for i, t in odd for e in [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]]), key=str)
+    assert sorted(((r[0], r[2], r[3]) for r in token_store.digest(docs_of(odd), tokenizer=name).collect()), key=str) == want
+
+
 def test_token_file_is_read_in_parts(spark, docs_of, tmp_path):
     import pyarrow.parquet as pq
 
@@ -152,6 +164,46 @@ def test_toxicity_held_out(spark):
     assert toxicity.reject(df.limit(0), lf).count() == 0
 
 
+def test_risk_gradient():
+    rng = np.random.RandomState(3)
+
+    def sparse(n, start):
+        return toxicity.Sparse([(np.sort(start + rng.choice(5, 3, replace=False)).astype(np.int32).tobytes(), rng.rand(3).tobytes()) for _ in range(n)])
+
+    pos, unl = sparse(7, 0), sparse(11, 3)
+    signs = set()
+    for prior in (0.1, 0.9):
+        for scale in (0.1, 3.0):
+            w, b = rng.randn(8) * scale + np.linspace(scale, -scale, 8), 0.5
+            _, negative, g, gb = toxicity.risk(w, b, pos, unl, prior, 0.0)
+            signs.add(negative >= 0)
+
+            def value(w, b, prior=prior, negative=negative):  # by hand: losses of single rows
+                dense = lambda x: np.array([[x.val[(x.row == i) & (x.col == j)].sum() for j in range(8)] for i in range(x.n)])
+                zp, zu = dense(pos) @ w + b, dense(unl) @ w + b
+                loss = lambda z: np.log(1 + np.exp(-z)).mean()
+                bad = loss(-zu) - prior * loss(-zp)
+                return prior * loss(zp) + bad if negative >= 0 else -bad
+
+            h = 1e-6
+            for j in range(8):
+                e = np.eye(8)[j] * h
+                assert abs((value(w + e, b) - value(w - e, b)) / (2 * h) - g[j]) < 1e-6
+            assert abs((value(w, b + h) - value(w, b - h)) / (2 * h) - gb) < 1e-6
+    assert signs == {True, False}
+
+
+def test_toxicity_of_repeats_and_clashes(spark, docs_of):
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choices(["scum", "trash"] if i % 3 == 0 else ["fine", "good", "plain"], k=6))) for i in range(200)]
+    docs += docs[:20] + [(5, "another text of an id"), (None, "scum trash"), (None, None)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)] + [(5, 0), (5, None), (None, 1)], "doc_id long, toxic int")
+    models = [toxicity.fit(d, labels) for d in (docs_of(docs), docs_of(docs[::-1]).repartition(3))]
+    assert models[0] == models[1]
+    kept = toxicity.reject(docs_of(docs), labels)
+    assert kept.columns == docs_of([]).columns and 0 < kept.count() < len(docs)
+
+
 # 4
 
 
@@ -182,7 +234,10 @@ def test_simhash(spark, docs_of, odd):
             r = root[brute_print(t)]
             least[r] = min(least.get(r, i), i)
     assert sorted(((r.id, r.component) for r in got), key=str) == sorted(((i, least.get(root[brute_print(t)])) for i, t in docs), key=str)
-    kept = simhash.keep_one(docs_of(docs))
+    named = docs_of(docs).withColumns({c: F.lit("own") for c in ("_same", "_kid", "_ksame", "id", "component")})
+    kept = simhash.keep_one(named)
+    assert kept.columns == named.columns and kept.filter("_same = 'own' and _kid = 'own'").count() == kept.count()
+    kept = kept.drop("_same", "_kid", "_ksame", "id", "component")
     assert kept.count() == len(set(root.values())) and kept.columns == docs_of([]).columns
     assert simhash.cluster(docs_of([])).count() == 0 and simhash.keep_one(docs_of([])).count() == 0
 
@@ -492,13 +547,61 @@ def test_flow_is_of_least_cost():
         assert product
 
 
+def test_flow_over_many_patterns():
+    rng = random.Random(7)
+    lone = [((f"s{i}",), rng.randint(1, 50)) for i in range(50_000)]
+    began = time.perf_counter()
+    taken = mixing.route(lone, {m[0]: 1.5 * n for m, n in lone})
+    assert all(abs(t[0] - n) < 1e-6 and abs(t[1] - n / 2) < 1e-6 for t, (_, n) in zip(taken, lone, strict=True))
+    chained = [((f"s{i}", f"s{i + 1}"), 10) for i in range(300)]  # what s0 lacks comes from the other end
+    taken = mixing.route(chained, {f"s{i}": 0 if i == 300 else 10 for i in range(301)})
+    assert abs(sum(t[0] for t in taken) - 3000) < 1e-6
+    many = [(tuple(sorted(rng.sample(range(200), 4))), rng.randint(1, 50)) for _ in range(20_000)]
+    taken = mixing.route(many, {s: 2000 + 50 * s for s in range(200)})
+    assert abs(sum(map(sum, taken)) - min(2 * sum(n for _, n in many), sum(2000 + 50 * s for s in range(200)))) < 1e-3
+    assert time.perf_counter() - began < 60
+
+
+def test_mix_by_hand(spark):
+    """op10's query against its definition: sizes, targets and what is taken."""
+    rng = random.Random(21)
+    docs = [(i, " ".join(["w"] * rng.randint(0, 40)) if rng.random() < 0.95 else None, rng.choice(["a"] * 8 + ["b", "b", "é", None, "\U0010ffff\U0010ffff"])) for i in range(3000)]
+    with tempfile.TemporaryDirectory() as where:
+        spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{where}/documents.parquet")
+        got = {r.doc_id: r for r in mixing.query(spark, where).collect()}
+    size = {i: len(SPACE_WORD.findall(t or "")) for i, t, _ in docs}
+    per: dict = {}
+    for i, _, s in docs:
+        per[s] = per.get(s, 0) + size[i]
+    order = sorted((s for s in per if s is not None)) + [None]
+    left, goal, free = 1.5 * sum(per.values()), {}, dict(zip(order, itertools.cycle([5, 2, 1])))
+    while free:
+        over = [s for s in free if left * free[s] / sum(free.values()) > 2 * per[s]]
+        if not over:
+            goal |= {s: left * w / sum(free.values()) for s, w in free.items()}
+            break
+        for s in over:
+            goal[s] = 2 * per[s]
+        for s in over:
+            del free[s]
+        left = 1.5 * sum(per.values()) - sum(goal.values())
+    for i, _, s in docs:
+        r = got[i]
+        assert (r.size, r.source_size) == (size[i], per[s]) and abs(r.target - goal[s]) < 1e-6 and r.taken in (0, size[i], 2 * size[i])
+    for s in order:
+        assert abs(sum(got[i].taken for i, _, t in docs if t == s) - goal[s]) <= 41
+
+
 def test_mix(spark):
     rng = random.Random(8)
     docs = [(i, rng.choice(["big"] * 6 + ["b", "c", None]), rng.randint(0, 30)) for i in range(2000)] + [(None, "b", 5), (1, "big", 3), (1, "big", 3), (9999, "c", None)]
-    df = spark.createDataFrame(docs, "doc_id long, source string, n long").withColumn("_target0", F.lit(1))
-    runs = [sorted(map(str, mixing.mix(x, F.array("source"), F.col("n")).select("doc_id", "source", "_size", "_copies", "_target").collect())) for x in (df, df.orderBy("n"))]
+    df = spark.createDataFrame(docs, "doc_id long, source string, n long").withColumns({c: F.lit(1) for c in ("_target", "_size_", "_sources", "_u", "_row", "_whole", "_cut", "_part", "_b")})
+    assert mixing.added(df) == ["_size", "_copies", "_target_", "_source_size"]
+    runs = [sorted(map(str, mixing.mix(x, F.array("source"), F.col("n")).select("doc_id", "source", "_size", "_copies", "_target_").collect())) for x in (df, df.orderBy("n"))]
     assert runs[0] == runs[1] and len(runs[0]) == len(docs)
-    out = mixing.mix(df, F.array("source"), F.col("n")).groupBy("source").agg(F.sum(F.col("_size") * F.col("_copies")).alias("taken"), F.first("_target").alias("goal"), F.max("_copies").alias("most")).collect()
+    out = mixing.mix(df, F.array("source"), F.col("n"))
+    assert out.columns == df.columns + mixing.added(df) and out.select(df.columns).exceptAll(df).isEmpty()
+    out = out.groupBy("source").agg(F.sum(F.col("_size") * F.col("_copies")).alias("taken"), F.first("_target_").alias("goal"), F.max("_copies").alias("most")).collect()
     for r in out:
         assert abs(r.taken - r.goal) <= 31 and r.most <= 2
     both = spark.createDataFrame([(i, ["a", "b"] if i % 2 else ["a"], 10) for i in range(40)], "doc_id long, s array<string>, n long")
