@@ -10,35 +10,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.llm import decontaminate, mixing, simhash, token_store, toxicity
-from attestor.llm.common import space_words, stored, table
+from attestor.llm.common import space_words, stored, table, unused
 
 
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under 0.5."""
+    """Documents whose toxicity score is under 0.5.  Null and empty texts have no feature and score by the bias alone; each repeated row is judged by its text."""
     return toxicity.reject(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id."""
+    """One document of each near-duplicate group: the one with the smallest doc_id, null last; of repeated rows one.  Null and empty texts are one group, with all whose fingerprint is near zero."""
     return simhash.keep_one(docs)
 
 
 def drop_benchmark(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window; rows of one id, or of none, are told apart by their texts."""
+    """Documents without any benchmark window; rows of one id, or of none, are told apart by their texts.  Null and empty texts have no window and stay, repeated rows stay or go together."""
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0")
-    bad = found.select(F.col("doc_id").alias("_bad"), F.col("_same").alias("_bad_same")).distinct()
+    bad, bad_same = unused(docs, "_bad", "_bad_same")
+    hit = found.select(F.col("doc_id").alias(bad), F.col("_same").alias(bad_same)).distinct()
     same = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")) & (same == F.col("_bad_same")), "left_anti")
+    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col(bad)) & (same == F.col(bad_same)), "left_anti")
 
 
 def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    mixed = mixing.mix(docs.withColumn("_words", space_words(F.col("text"))), F.array("source"), F.col("_words"))
-    return mixed.filter(F.col("_copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """Documents as often as the mix takes them.  A null source is a source of its own; null and empty texts have size 0; repeated rows stand and fall together."""
+    copies = F.col(mixing.added(docs)[1])
+    mixed = mixing.mix(docs, F.array("source"), space_words(F.col("text")))
+    return mixed.filter(copies > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), copies)).alias(unused(docs, "_copy")[0])).select(*docs.columns)
 
 
 def token_ids(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files written, and what they hold of each document."""
+    """Token files written, and what they hold of each document.  Null and empty texts have just the end id; each repeated row is a document."""
     return token_store.digest(docs)
 
 
