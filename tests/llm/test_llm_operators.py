@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import itertools
 import json
@@ -281,13 +282,67 @@ def test_warc_boundaries(spark, tmp_path):
     assert warc.read_archives(spark, str(tmp_path / "e")).count() == 0
 
 
-def test_chain_stops_where_it_breaks():
-    whole = b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
-    at, after, _ = warc.candidates(whole * 3)
-    assert warc.reachable(at, after, len(whole) * 3).all()
-    at, after, _ = warc.candidates(whole + b"?" + whole)
-    assert warc.reachable(at, after, len(whole) * 2 + 1).tolist() == [True, False]
-    assert warc.reachable(*warc.candidates(b"")[:2], 0).tolist() == []
+def brute_chain(data):
+    """(id, payload) of the records of one archive, one after another."""
+    out, at = [], 0
+    while (m := re.compile(rb"WARC/1\.[01]\r\n").match(data, at)) and (end := data.find(b"\r\n\r\n", m.end() - 2)) >= 0:
+        n = re.search(rb"content-length:\s*(\d+)", data[m.end() - 2 : end].lower())
+        block = data[end + 4 : end + 4 + int(n[1])] if n else b""
+        if not n or len(block) < int(n[1]):
+            break
+        found = re.search(rb"ID: (\d+)", data[m.end() - 2 : end])
+        out.append((int(found[1]) if found else None, block))
+        at = end + 4 + len(block) + 4
+    return out
+
+
+@pytest.mark.parametrize("split", ["128m", "1500"])
+def test_archives_by_brute_force(spark, tmp_path, split):
+    import gzip
+
+    rng = random.Random(17)
+    bits = [b"WARC/1.1\r\n", b"\r\n", b"\r\n\r\n", b"WARC/1.", b"\r\n\r\nWARC/1.0\r\n", b"Content-Length: 7\r\n\r\n", b"x", b"\xff\x00\n", b"\r", b"\r\n\r\nWARC/1.1\r\nWARC-Record-ID: 666\r\nContent-Length: 3\r\n\r\nabc"]
+
+    def record(i):
+        block = b"".join(rng.choices(bits, k=rng.choice([0, 1, 3, 12, 40])))
+        return b"WARC/1.%d\r\nWARC-Type: resource\r\nWARC-Record-ID: %d\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i % 2, i, len(block), block)
+
+    files = [b"".join(record(100 * f + i) for i in range(rng.randint(1, 25))) for f in range(8)]
+    files += [b"", files[0][:-30], files[1] + b"?" + files[2], b"?" + files[3], record(1)[:-4] + b"\r\n" + record(2), record(5) + b"WARC/1.1\r\nContent-Length: x\r\n\r\n" + record(6)]
+    for i, data in enumerate(files):
+        (tmp_path / f"a{i}.warc").write_bytes(data)
+        if i % 3 == 0:
+            half = data.find(b"WARC/1.1\r\nWARC-Type", 1)
+            (tmp_path / f"b{i}.warc.gz").write_bytes(gzip.compress(data[: max(0, half)]) + gzip.compress(data[max(0, half) :]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    got = [(r.id, bytes(r.payload), r.payload_bytes, r.payload_digest) for r in warc.read_archives(spark, str(tmp_path)).collect()]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = [r for i, data in enumerate(files) for r in brute_chain(data) * (1 + (i % 3 == 0))]
+    assert sorted(got, key=str) == sorted(((i, b, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode()) for i, b in want), key=str)
+
+
+def test_frequent_payloads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "HOT", 3)
+    pages = [(i, "u", ["same", "", None, "other"][i % 4] if i < 30 else f"p{i}") for i in range(60)] + [(None, "u", "same"), (None, None, "p40")]
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), str(tmp_path / "w"))
+    first: dict = {}
+    for i, _, h in pages:
+        if i is not None:
+            first[h or ""] = min(first.get(h or "", i), i)
+    want = [(i, "response" if first[h or ""] == i else "revisit", None if first[h or ""] == i else first[h or ""], len(h or "")) for i, _, h in pages]
+    got = warc.read_archives(spark, str(tmp_path / "w")).select("id", "record_type", "refers_to", "payload_bytes").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_pointer_jumping():
+    at = np.array([0, 10, 20, 30, 40])
+    step, leaves = warc.follow(at, np.array([20, 30, 40, 99, 120]))
+    assert step.tolist() == [2, 3, 4, -1, -1] and leaves.tolist() == [120, 99, 120, 99, 120]
+    assert warc.reached(step, at == 0).tolist() == [True, False, True, False, True]
+    assert warc.reached(step[:0], np.zeros(0, bool)).tolist() == []
 
 
 # 6
