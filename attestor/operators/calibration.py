@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from attestor.functions import vocab
 from attestor.functions.text import canonical_feature, is_unknown
 
+# Reasons that make a denial a hard one.
 HARD_PREFIXES = ["barred_sponsor:", "disqualifying_flag:", "embargoed_home_world:", "stay_limit_exceeded:"]
 HARD_REASONS = ["biohazard_red", "required_sponsor_absent", "stale_application", "transit_work_authorization", "unpaid_without_valid_waiver"]
 
@@ -83,25 +84,31 @@ def apply_semantic(traces: DataFrame, stats: DataFrame, strengths=(8.0, 2.0, 2.0
 
 
 def fit_isotonic(samples: DataFrame, signal: str = "raw_signal", correct: str = "correct") -> DataFrame:
-    """(breakpoint, probability): steps of the monotone least-squares fit.
+    """(breakpoint, probability): steps of the monotone least-squares fit, in [0, 1].
 
-    The fit at x is the greatest over lo <= x of the least over hi >= x of the
-    mean between them; it looks at distinct signals only, which are few as
-    signals are rounded.  Beyond 20,000 distinct signals this refuses.
+    Neighbours are pooled while the one before has the greater mean; equal ones
+    stay steps of their own.  Breakpoints 0 and 1 are added with the first and
+    last probability.  Only distinct signals are gathered, with their counts;
+    they are few, as signals are rounded.  Signals that are null or outside of
+    [0, 1] raise ValueError; none give no steps.
     """
-    points = samples.groupBy(F.col(signal).alias("x")).agg(F.sum(F.col(correct).cast("long")).alias("c"), F.count("*").alias("n"))
-    points = points.filter("x is not null")
-    rows = points.orderBy("x").limit(20_001).collect()
-    if len(rows) > 20_000:
-        raise ValueError("more than 20,000 distinct signals: round them first")
+    points = samples.groupBy(F.col(signal).alias("x")).agg(F.sum(F.col(correct).cast("long")).alias("c"), F.count(correct).alias("n"))
+    rows = sorted(points.collect(), key=lambda r: (r["x"] is not None, r["x"]))
+    if rows and (rows[0]["x"] is None or not 0 <= rows[0]["x"] <= rows[-1]["x"] <= 1):
+        raise ValueError("raw signals must be in [0, 1]")
     blocks: list[list] = []
-    for r in rows:  # pool neighbours until means ascend
-        blocks.append([r["x"], r["c"], r["n"]])
-        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
+    for r in (r for r in rows if r["n"]):
+        blocks.append([float(r["x"]), r["c"], r["n"]])
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] > blocks[-1][1] * blocks[-2][2]:
             _, c, n = blocks.pop()
             blocks[-1][1] += c
             blocks[-1][2] += n
-    return samples.sparkSession.createDataFrame([(float(x), c / n) for x, c, n in blocks], "breakpoint double, probability double")
+    steps = [(x, c / n) for x, c, n in blocks]
+    if steps and steps[0][0] > 0:
+        steps.insert(0, (0.0, steps[0][1]))
+    if steps and steps[-1][0] < 1:
+        steps.append((1.0, steps[-1][1]))
+    return samples.sparkSession.createDataFrame(steps, "breakpoint double, probability double")
 
 
 def apply_isotonic(rows: DataFrame, steps: DataFrame, signal: str = "raw_signal") -> DataFrame:

@@ -31,6 +31,7 @@ def _p(most: float) -> Column:
     return F.col("confidence") <= most
 
 
+# Names of the rules, their thresholds, and the reasons that they look for.
 #: name: condition over confidence, age_days, visa_class, fee_pages, sponsor_page, other_page and the reasons.
 DENIALS = {
     "review_denial_other_missing_biohazard": lambda: _p(0.35) & _has("review_reasons", "clean_biohazard_check_missing") & F.col("other_page"),
@@ -62,6 +63,6 @@ def recover(rows: DataFrame, off: Collection[str] = ()) -> DataFrame:
 
 
 def demote_unknown_fee(rows: DataFrame) -> DataFrame:
-    """Approvals whose fee is not known go back to review, with a confidence of .45 at most; the state tells, as the value may be a prior."""
-    hit = (F.col("adjudication") == "APPROVED") & ((F.col("fee_status") == "unknown") | (F.col("fee_status_state") != "resolved"))
+    """Approvals whose row says that the fee is unknown go back to review, with a confidence of .45 at most."""
+    hit = F.coalesce((F.col("adjudication") == "APPROVED") & (F.col("fee_status") == "unknown"), F.lit(False))
     return rows.withColumns({"adjudication": F.when(hit, "NEEDS_REVIEW").otherwise(F.col("adjudication")), "confidence": F.when(hit, F.least("confidence", F.lit(0.45))).otherwise(F.col("confidence"))})

@@ -95,7 +95,7 @@ def winners(evidence: DataFrame) -> DataFrame:
     from attestor.operators.resolve import eligible
 
     found = resolve(evidence).filter("state = 'resolved'").select(F.col("case_id").alias("_c"), F.col("field_name").alias("_f"), F.col("value").alias("_v"), F.col("winning_rank").alias("_r"))
-    rows = evidence.filter(eligible()).join(found, (F.col("case_id") == F.col("_c")) & (F.col("field_name") == F.col("_f")) & (F.col("rank") == F.col("_r")) & (F.col("value") == F.col("_v")))
+    rows = evidence.filter(eligible(evidence)).join(found, (F.col("case_id") == F.col("_c")) & (F.col("field_name") == F.col("_f")) & (F.col("rank") == F.col("_r")) & (F.col("value") == F.col("_v")))
     fix = F.coalesce("correction", F.lit(False)).alias("_fix")  # corrections of this rank decide: all have the resolved value
     return rows.groupBy("case_id", "field_name").agg(F.max(F.struct(fix, "ocr_confidence", "page_index", "top")).alias("w"), F.first("value").alias("value")).select("case_id", "field_name", "value", "w.*").drop("_fix")
 

@@ -2,8 +2,10 @@
 
 A case is a wide row: for each field f a struct f(state, value, visible, type),
 value set only where state is resolved, and linkage (array of reasons),
-rescinded (boolean).  Each reason is one conditional expression; the arrays are
-compacted in the same projection, so a decision costs no shuffle.
+rescinded (boolean).  prepared() turns a field into plain columns once; each
+reason is one conditional expression over them, and the arrays are compacted in
+the same projection, so a decision costs no shuffle.  No lambda stands around
+the conditions, as Spark evaluates what is in one without generated code.
 """
 
 from __future__ import annotations
@@ -20,16 +22,37 @@ FIELDS = [*vocab.OUTPUT_FIELDS, "adjudication", "hardship_waiver", "diplomatic_n
 
 
 def value(f: str) -> Column:
+    """Of a case as it is given; after prepared() the column _v_f has it."""
     return F.when(F.col(f)["state"] == "resolved", F.col(f)["value"])
 
 
 def visible(f: str) -> Column:
-    """Resolved by visible, legible evidence other than the text layer."""
+    """Resolved by visible, legible evidence other than the text layer; after prepared() the column _s_f has it."""
     return F.coalesce((F.col(f)["state"] == "resolved") & F.col(f)["visible"] & (F.col(f)["type"] != "text_layer"), F.lit(False))
 
 
-def marked(f: str) -> Column:
-    return F.coalesce(value(f) == "valid", F.lit(False)) & visible(f)
+def _v(f: str) -> Column:
+    return F.col(f"_v_{f}")
+
+
+def _s(f: str) -> Column:
+    return F.col(f"_s_{f}")
+
+
+def _state(f: str) -> Column:
+    return F.col(f"_k_{f}")
+
+
+def _marked(f: str) -> Column:
+    return F.coalesce(_v(f) == "valid", F.lit(False)) & _s(f)
+
+
+def prepared(cases: DataFrame) -> DataFrame:
+    """cases with value (_v_f), visibility (_s_f) and state (_k_f, unknown for null) of each field, and the flags as an array.  All are referred to more than once, so Catalyst computes them once."""
+    cols = {}
+    for f in FIELDS:
+        cols |= {f"_v_{f}": value(f), f"_s_{f}": visible(f), f"_k_{f}": F.coalesce(F.col(f)["state"], F.lit("unknown"))}
+    return cases.withColumns(cols).withColumn("_flags", F.coalesce(split_flags(_v("risk_flags")), F.array().cast("array<string>")))
 
 
 def true(c: Column) -> Column:
@@ -38,41 +61,41 @@ def true(c: Column) -> Column:
 
 def _listed(reasons: list[tuple[Column, Column]], *arrays: Column) -> Column:
     """Sorted distinct names whose condition holds, and those of the arrays."""
-    own = F.array_compact(F.array(*[F.when(true(c), name) for c, name in reasons]))
-    return F.array_sort(F.array_distinct(reduce(F.concat, arrays, own)))
+    own = F.array_except(F.array(*[F.when(true(c), name) for c, name in reasons]), F.array(F.lit(None).cast("string")))
+    return F.sort_array(F.array_distinct(reduce(F.concat, arrays, own)))
 
 
-def adjudicate(cases: DataFrame) -> DataFrame:
-    """case_id, decision, authoritative, denial_reasons, review_reasons, approval_facts.
+def adjudicate(cases: DataFrame, carry: tuple = ()) -> DataFrame:
+    """case_id, decision, authoritative, denial_reasons, review_reasons, approval_facts, and the columns of carry, expressions over prepared cases.
 
     A visible stamp or signed note decides alone.  Else any denial reason
     denies, any review reason asks for review, and only a case without either
     is approved.  Missing values are null; unparsable dates and numbers count
-    as unknown.
+    as unknown.  Contested fields are all of FIELDS.
     """
     lit, any_of = F.lit, lambda xs: F.array(*[F.lit(x) for x in xs])
-    visa, visa_seen, world, sponsor, fee = value("visa_class"), visible("visa_class"), value("home_world"), value("sponsor_id"), value("fee_status")
+    visa, visa_seen, world, sponsor, fee = _v("visa_class"), _s("visa_class"), _v("home_world"), _v("sponsor_id"), _v("fee_status")
     diplomatic = visa_seen & true(visa == "DIP-1")
     flags = F.col("_flags")
-    seen_flags = visible("risk_flags")
-    arrival, receipt = iso_date(value("arrival_date")), iso_date(value("packet_receipt_date"))
-    arrived = arrival.isNotNull() & visible("arrival_date")
-    since = F.when(visible("packet_receipt_date") & receipt.isNotNull(), receipt).otherwise(lit(vocab.SNAPSHOT_DATE).cast("date"))
+    seen_flags = _s("risk_flags")
+    arrival, receipt = iso_date(_v("arrival_date")), iso_date(_v("packet_receipt_date"))
+    arrived = arrival.isNotNull() & _s("arrival_date")
+    since = F.when(_s("packet_receipt_date") & receipt.isNotNull(), receipt).otherwise(lit(vocab.SNAPSHOT_DATE).cast("date"))
     stale = arrived & (F.datediff(since, arrival) > vocab.STALE_AFTER_DAYS)
-    waiver, note = marked("hardship_waiver"), marked("diplomatic_note")
-    fee_seen = visible("fee_status")
+    waiver, note = _marked("hardship_waiver"), _marked("diplomatic_note")
+    fee_seen = _s("fee_status")
     needs_sponsor = visa_seen & true(visa != "DIP-1")
-    sponsor_ok = needs_sponsor & sponsor.isNotNull() & visible("sponsor_id")
-    stay = F.when(value("stay_duration_days").try_cast("int") > 0, value("stay_duration_days").try_cast("int"))
+    sponsor_ok = needs_sponsor & sponsor.isNotNull() & _s("sponsor_id")
+    stay = F.when(_v("stay_duration_days").try_cast("int") > 0, _v("stay_duration_days").try_cast("int"))
     limit = F.when(visa_seen, reduce(lambda c, k: c.when(visa == k, vocab.STAY_LIMITS[k]), list(vocab.STAY_LIMITS)[1:], F.when(visa == next(iter(vocab.STAY_LIMITS)), next(iter(vocab.STAY_LIMITS.values())))))
-    stay_seen = visible("stay_duration_days") & stay.isNotNull() & limit.isNotNull()
+    stay_seen = _s("stay_duration_days") & stay.isNotNull() & limit.isNotNull()
     medical = visa_seen & true(visa == "MED-3")
-    check, check_seen = value("biohazard_check"), visible("biohazard_check")
+    check, check_seen = _v("biohazard_check"), _s("biohazard_check")
     red, clean = medical & check_seen & true(check == "red"), medical & check_seen & true(check == "clean")
     slip = medical & ~red & ~clean & seen_flags & (F.size(flags) == 0) & true(F.col("risk_flags")["type"] == "biometric_slip")
     denial = _listed(
         [
-            (visible("home_world") & (world.isin(vocab.EMBARGOED_WORLDS) | world.isin(vocab.NON_DIPLOMATIC_EMBARGOED_WORLDS) & visa_seen & (visa != "DIP-1")), F.concat(lit("embargoed_home_world:"), world)),
+            (_s("home_world") & (world.isin(vocab.EMBARGOED_WORLDS) | world.isin(vocab.NON_DIPLOMATIC_EMBARGOED_WORLDS) & visa_seen & (visa != "DIP-1")), F.concat(lit("embargoed_home_world:"), world)),
             (visa_seen & (visa == "TRANSIT-7"), lit("transit_work_authorization")),
             (fee_seen & (fee == "unpaid") & ~waiver, lit("unpaid_without_valid_waiver")),
             (sponsor_ok & sponsor.isin(vocab.BARRED_SPONSORS), F.concat(lit("barred_sponsor:"), sponsor)),
@@ -82,25 +105,25 @@ def adjudicate(cases: DataFrame) -> DataFrame:
         ],
         F.when(seen_flags, F.transform(F.array_intersect(flags, any_of(vocab.DISQUALIFYING_FLAGS)), lambda x: F.concat(lit("disqualifying_flag:"), x))).otherwise(F.array().cast("array<string>")),
     )
-    unknown = [(true(F.col(f)["state"] != "resolved") | F.col(f)["state"].isNull()) & (lit(True) if f != "sponsor_id" else ~true(visa == "DIP-1")) for f in vocab.OUTPUT_FIELDS]
+    unknown = [(_state(f) != "resolved") & (lit(True) if f != "sponsor_id" else ~true(visa == "DIP-1")) for f in vocab.OUTPUT_FIELDS]
     review = _listed(
         [
             (fee_seen & (fee == "waived") & ~diplomatic & ~waiver, lit("unsupported_fee_waiver")),
             (fee.isNull() | (~(fee_seen & fee.isin("unpaid", "paid", "waived")) & (fee == "unknown")), lit("fee_status_unknown")),
             (~visa_seen, lit("visa_class_not_visible")),
             (needs_sponsor & sponsor.isNull(), lit("required_sponsor_unknown")),
-            (needs_sponsor & sponsor.isNotNull() & ~visible("sponsor_id"), lit("required_sponsor_not_visible")),
+            (needs_sponsor & sponsor.isNotNull() & ~_s("sponsor_id"), lit("required_sponsor_not_visible")),
             (arrival.isNull(), lit("arrival_date_unknown")),
-            (arrival.isNotNull() & ~visible("arrival_date"), lit("arrival_date_not_visible")),
+            (arrival.isNotNull() & ~_s("arrival_date"), lit("arrival_date_not_visible")),
             (stale & diplomatic & ~note, lit("stale_diplomatic_note_missing")),
             (medical & ~red & ~clean & ~slip, lit("clean_biohazard_check_missing")),
             (~true(visa.isin(vocab.VISA_CLASSES)), lit("visa_class_unknown")),
             (true(F.col("rescinded")) & ~F.array_contains(flags, "rescinded_denial"), lit("review_flag:rescinded_denial")),
-            (~true(F.col("risk_flags")["state"] == "resolved"), lit("risk_flags_unknown")),
-            (true(F.col("risk_flags")["state"] == "resolved") & ~seen_flags, lit("risk_flags_not_visible")),
-            *[(true(F.col(f)["state"] == "contested"), lit(f"contested_field:{f}")) for f in FIELDS],
+            (~(_state("risk_flags") == "resolved"), lit("risk_flags_unknown")),
+            ((_state("risk_flags") == "resolved") & ~seen_flags, lit("risk_flags_not_visible")),
+            *[(_state(f) == "contested", lit(f"contested_field:{f}")) for f in FIELDS],
             *[(u, lit(f"required_output_unknown:{f}")) for f, u in zip(vocab.OUTPUT_FIELDS, unknown, strict=True)],
-            *[(true(F.col(f)["state"] == "resolved") & ~visible(f), lit(f"required_output_not_visible:{f}")) for f in vocab.OUTPUT_FIELDS],
+            *[((_state(f) == "resolved") & ~_s(f), lit(f"required_output_not_visible:{f}")) for f in vocab.OUTPUT_FIELDS],
         ],
         F.transform(F.array_intersect(flags, any_of(vocab.REVIEW_FLAGS)), lambda x: F.concat(lit("review_flag:"), x)),
         F.transform(F.coalesce(F.col("linkage"), F.array().cast("array<string>")), lambda x: F.concat(lit("unresolved_linkage:"), x)),
@@ -118,9 +141,9 @@ def adjudicate(cases: DataFrame) -> DataFrame:
             (slip, lit("no_visible_biohazard_risk")),
         ]
     )
-    stamped = F.when(visible("adjudication") & F.col("adjudication")["type"].isin("adjudicator_stamp", "signed_manual_note"), value("adjudication"))
-    out = cases.withColumn("_flags", F.coalesce(split_flags(value("risk_flags")), F.array().cast("array<string>")))
-    out = out.select("case_id", stamped.alias("_stamp"), denial.alias("_denial"), review.alias("_review"), facts.alias("_facts"))
+    stamped = F.when(_s("adjudication") & F.col("adjudication")["type"].isin("adjudicator_stamp", "signed_manual_note"), _v("adjudication"))
+    more = [c.alias(f"_carry{i}") for i, (_, c) in enumerate(carry)]
+    out = prepared(cases).select("case_id", *more, stamped.alias("_stamp"), denial.alias("_denial"), review.alias("_review"), facts.alias("_facts"))
     decided = F.coalesce("_stamp", F.when(F.size("_denial") > 0, "DENIED").when(F.size("_review") > 0, "NEEDS_REVIEW").otherwise("APPROVED"))
     alone = F.array(lit("authoritative_visible_decision"))
     none = F.array().cast("array<string>")
@@ -128,7 +151,7 @@ def adjudicate(cases: DataFrame) -> DataFrame:
     def told(name: str, of: str) -> Column:
         own = F.col(name)
         if of == "APPROVED":
-            own = F.when(decided == "APPROVED", F.array_sort(F.array_append(own, "strict_approval_bar_cleared"))).otherwise(own)
+            own = F.when(decided == "APPROVED", F.sort_array(F.array_append(own, "strict_approval_bar_cleared"))).otherwise(own)
         return F.when(F.col("_stamp").isNull(), own).when(F.col("_stamp") == of, alone).otherwise(none)
 
     return out.select(
@@ -138,19 +161,25 @@ def adjudicate(cases: DataFrame) -> DataFrame:
         told("_denial", "DENIED").alias("denial_reasons"),
         told("_review", "NEEDS_REVIEW").alias("review_reasons"),
         told("_facts", "APPROVED").alias("approval_facts"),
+        *[F.col(f"_carry{i}").alias(name) for i, (name, _) in enumerate(carry)],
     )
 
 
-def assemble(cases: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Output rows: resolved values, priors and sentinels where unresolved, the state of each next to it, and the decision."""
+def outputs() -> tuple:
+    """(name, expression over prepared cases) of the output fields and their states: resolved values, priors and sentinels where unresolved."""
     cols = []
     for f in vocab.OUTPUT_FIELDS:
         spare = vocab.PRIORS.get(f) or vocab.SENTINELS.get(f) or ("none" if f == "risk_flags" else "unknown")
-        v = F.coalesce(value(f), F.lit(spare))
+        v = F.coalesce(_v(f), F.lit(spare))
         if f == "risk_flags":
-            absolute = visible("home_world") & true(value("home_world").isin(vocab.EMBARGOED_WORLDS))
-            have = F.coalesce(split_flags(value(f)), F.array().cast("array<string>"))
-            every = F.array_sort(F.when(absolute, F.array_union(have, F.array(F.lit("planetary_embargo")))).otherwise(have))
+            absolute = _s("home_world") & true(_v("home_world").isin(vocab.EMBARGOED_WORLDS))
+            every = F.sort_array(F.when(absolute, F.array_union(F.col("_flags"), F.array(F.lit("planetary_embargo")))).otherwise(F.col("_flags")))
             v = F.when(F.size(every) == 0, "none").otherwise(F.array_join(every, "|"))
-        cols += [v.alias(f), F.coalesce(F.col(f)["state"], F.lit("unknown")).alias(f"{f}_state")]
-    return cases.select("case_id", *cols).join(decisions.select("case_id", F.col("decision").alias("adjudication")), "case_id")
+        cols += [(f, v), (f"{f}_state", _state(f))]
+    return tuple(cols)
+
+
+def assemble(cases: DataFrame, *more: str, carry: tuple = ()) -> DataFrame:
+    """Output rows of cases: fields, the state of each next to it, and the decision; further columns of adjudicate() by name.  One projection of the cases, without a join."""
+    names = [n for n, _ in (*outputs(), *carry)]
+    return adjudicate(cases, (*outputs(), *carry)).select("case_id", *names, F.col("decision").alias("adjudication"), *more)

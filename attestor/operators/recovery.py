@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,7 +80,11 @@ def sponsor_conflict(candidates: DataFrame, least: float = 0.9, similar: float =
         F.max(F.coalesce(intake & F.col("correction"), F.lit(False))).alias("fixed"), F.collect_set(ocr_key(pick("applicant_hint", intake))).alias("a"), F.collect_set(ocr_key(pick("applicant_hint", sponsor))).alias("b"),
     )
     agg = agg.filter((F.col("i_lo") == F.col("i_hi")) & (F.col("s_lo") == F.col("s_hi")) & (F.col("i_lo") != F.col("s_lo")) & ~F.col("fixed"))
-    alike = F.udf(lambda a, b: all(x and y and ratio(x, y) >= similar for x in a for y in b), "boolean")  # few cases come this far
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([all(x and y and ratio(x, y) >= similar for x in p for y in q) for p, q in zip(a, b, strict=True)], dtype=bool)
+
     return agg.filter(alike("a", "b")).select("case_id", "field_name", F.col("s_lo").alias("value"))
 
 
@@ -90,13 +95,22 @@ def stable_swap(before: DataFrame, after: DataFrame, but: str = "applicant_name"
     return before.select("case_id").union(after.select("case_id")).distinct().join(odd, "case_id", "left_anti")
 
 
-def supported_exceptions(rules: DataFrame, least: int = 5) -> DataFrame:
-    """rule_id and problems of exception rules by their support sets: tuning and calibration arrays of case ids, matched in each."""
+def supported_exceptions(rules: DataFrame, least: int = 2) -> DataFrame:
+    """rule_id and problems of exception rules by their proof.
+
+    Columns: visible, heldout, tuning (arrays of case ids), tuning_split,
+    measured_split, candidate_false_approvals, baseline_false_approvals.  A null
+    array is empty, a null count 0; equal splits, two nulls among them, are one.
+    """
+    none = F.array().cast(rules.schema["visible"].dataType)
+    visible, heldout, tuning = (F.coalesce(c, none) for c in ("visible", "heldout", "tuning"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
     bad = [
-        (F.size("tuning") < least, "too_few_tuning_cases"),
-        (F.size("calibration") < least, "too_few_calibration_cases"),
-        (F.arrays_overlap("tuning", "calibration"), "supports_overlap"),
-        (F.size(F.array_except("matched_tuning", "tuning")) > 0, "match_outside_tuning"),
-        (F.col("false_approvals_after") > F.col("false_approvals_before"), "more_false_approvals"),
+        (F.size(visible) == 0, "no_visible_support"),
+        (F.size(F.array_distinct(heldout)) < least, "insufficient_heldout_support"),
+        (F.size(F.array_except(heldout, visible)) > 0, "heldout_support_not_visible"),
+        (F.size(F.array_intersect(heldout, tuning)) > 0, "heldout_support_overlaps_tuning"),
+        (F.col("tuning_split").eqNullSafe(F.col("measured_split")), "measured_on_tuning_split"),
+        (zero("candidate_false_approvals") > zero("baseline_false_approvals"), "more_false_approvals"),
     ]
     return rules.select("rule_id", F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in bad])).alias("problems"))

@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def eligible() -> Column:
-    """Legible, not superseded, with a value; null flags count as false."""
-    return F.coalesce(F.col("legible") & ~F.col("superseded") & F.col("value").isNotNull(), F.lit(False))
+def eligible(evidence: DataFrame) -> Column:
+    """Legible, not superseded, not struck through, with a value; a null flag makes a row ineligible.  visual_cues (array) is looked at where evidence has it."""
+    ok = F.col("legible") & ~F.col("superseded") & F.col("value").isNotNull()
+    if "visual_cues" in evidence.columns:
+        ok = ok & ~F.coalesce(F.array_contains("visual_cues", "strikethrough"), F.lit(False))
+    return F.coalesce(ok, F.lit(False))
 
 
 def resolve(evidence: DataFrame, keys: Sequence[str] = ("case_id", "field_name")) -> DataFrame:
@@ -25,7 +28,7 @@ def resolve(evidence: DataFrame, keys: Sequence[str] = ("case_id", "field_name")
     before it is shuffled and no window holds a group's rows.
     """
     per_rank = (
-        evidence.withColumn("_ok", eligible())
+        evidence.withColumn("_ok", eligible(evidence))
         .groupBy(*keys, F.when(F.col("_ok"), F.col("rank")).alias("_rank"), F.when(F.col("_ok"), F.coalesce("correction", F.lit(False))).alias("_fix"))
         .agg(F.min(F.when(F.col("_ok"), F.col("value"))).alias("_lo"), F.max(F.when(F.col("_ok"), F.col("value"))).alias("_hi"), F.count("*").alias("_n"))
     )

@@ -103,33 +103,73 @@ def field_rates(truth: DataFrame, pred: DataFrame) -> DataFrame:
 
 
 def error_groups(scores: DataFrame, *by: str) -> DataFrame:
-    """Counts of wrong cases by each of the columns, in one pass."""
-    wrong = scores.filter(F.col("classification_reason") != "correct")
-    return wrong.groupingSets([[c] for c in by], *by).agg(F.count("*").alias("cases"))
+    """Counts of all cases by each of the columns, in one pass; null and empty are unspecified.  A column `traps` (pipe-joined) counts as trap_status."""
+    cols = {c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("unspecified")) for c in by if c != "traps"}
+    if "traps" in by:
+        cols["trap_status"] = F.when(trapped(F.col("traps")), "adversarial").otherwise("non_adversarial")
+    return scores.select(*[e.alias(c) for c, e in cols.items()]).groupingSets([[c] for c in cols], *cols).agg(F.count("*").alias("cases"))
+
+
+def trapped(traps: Column) -> Column:
+    """Whether a pipe-joined list names any trap."""
+    return F.coalesce(F.regexp_replace(traps, r"[|\s]", "") != "", F.lit(False))
+
+
+def outcomes(scores: DataFrame, listed: DataFrame) -> DataFrame:
+    """(case_id, correct, golden, adversarial, classification_reason) of scored cases, with difficulty and traps beside their scores; listed (case_id, golden, adversarial) names further ones."""
+    some = lambda c: F.coalesce(F.col(f"_l.{c}"), F.lit(False))
+    both = scores.alias("s").join(listed.alias("_l"), F.col("s.case_id") == F.col("_l.case_id"), "left")
+    golden = some("golden") | F.coalesce(F.lower("s.difficulty") == "golden", F.lit(False))
+    return both.select("s.case_id", (F.col("classification_reason") == "correct").alias("correct"), golden.alias("golden"), (some("adversarial") | trapped(F.col("s.traps"))).alias("adversarial"), "classification_reason")
 
 
 def regressions(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
-    """Cases that the baseline had right and the candidate has wrong, counted by the reason now."""
-    was = baseline.filter(F.col("classification_reason") == "correct").select("case_id")
-    return candidate.filter(F.col("classification_reason") != "correct").join(was, "case_id", "left_semi").groupBy("classification_reason").agg(F.count("*").alias("cases"))
+    """(category, case_id): outcomes of a golden or adversarial category that the baseline has right and the candidate wrong; the baseline tells the category."""
+    now = candidate.filter(~F.coalesce("correct", F.lit(False))).select("case_id")
+    was = baseline.filter("correct and (golden or adversarial)").join(now, "case_id", "left_semi")
+    kinds = F.array_compact(F.array(*[F.when(F.col(k), F.lit(k)) for k in ("golden", "adversarial")]))
+    return was.select(F.explode(kinds).alias("category"), "case_id")
 
 
-def gate(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
-    """One row from two summaries: deltas, blocking reasons, warnings and the verdict."""
+def gate(baseline: DataFrame, candidate: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row from two reports and their outcomes: blocking reasons, warnings, the verdict and deltas.
+
+    A report is a row of summary() with split_name, honest_holdout,
+    runtime_seconds, peak_memory_mib, source and leakage_findings (a count).
+    A lower score blocks nothing; what blocks is a measurement that isn't
+    honest or whole, and more false approvals.  Warnings are regressions of
+    golden and adversarial cases and more invalid or missing rows.
+    """
+    sides = before.select("case_id", F.lit(1).alias("s")).unionByName(after.select("case_id", F.lit(2).alias("s"))).distinct()
+    unlike = sides.groupBy("case_id").agg(F.sum("s").alias("s")).agg(F.count(F.when(F.col("s") != 3, 1)).alias("unlike"))
+    lost = regressions(before, after).agg(*[F.count(F.when(F.col("category") == k, 1)).alias(f"{k}_regressions") for k in ("golden", "adversarial")])
     b = baseline.select(*[F.col(c).alias(f"b_{c}") for c in baseline.columns])
-    both = candidate.crossJoin(F.broadcast(b))  # one row each
-    named = lambda *xs: F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in xs]))
-    both = both.withColumn(
-        "blocking",
-        named(
-            ("catastrophic_false_approvals_increased", F.col("catastrophic_false_approvals") > F.col("b_catastrophic_false_approvals")),
-            ("missing_rows", F.col("missing_rows") > 0),
-            ("invalid_rows", F.col("invalid_adjudications") + F.col("invalid_confidences") + F.col("invalid_fees") > 0),
-            ("total_score_regressed", F.col("total") < F.col("b_total")),
-        ),
-    ).withColumn("warnings", named(*[(f"{s}_regressed", F.col(s) < F.col(f"b_{s}")) for s in ("extraction", "classification", "calibration")]))
+    both = candidate.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(unlike)).crossJoin(F.broadcast(lost))  # one row each
+    c, no = F.col, F.lit(False)
+    named = lambda *xs: F.array_compact(F.array(*[F.when(F.coalesce(k, no), F.lit(n)) for n, k in xs]))
+    invalid = lambda p: c(f"{p}invalid_adjudications") + c(f"{p}invalid_confidences") + c(f"{p}invalid_fees")
+    blocking = named(
+        ("candidate_not_honest_holdout", ~F.coalesce("honest_holdout", no)),
+        ("baseline_not_honest_holdout", ~F.coalesce("b_honest_holdout", no)),
+        ("different_splits", ~c("split_name").eqNullSafe(c("b_split_name"))),
+        ("different_cases", c("unlike") > 0),
+        *[(f"missing_measurement:{m}", c(m).isNull()) for m in ("runtime_seconds", "peak_memory_mib", "source")],
+        ("runtime_not_measured", F.coalesce("runtime_seconds", F.lit(0.0)) <= 0),
+        ("memory_not_measured", F.coalesce("peak_memory_mib", F.lit(0.0)) <= 0),
+        ("only_evaluator_measured", c("source") == "official_evaluator_process_only"),
+        ("case_identity_leakage", c("leakage_findings") > 0),
+        ("catastrophic_false_approvals_increased", c("catastrophic_false_approvals") > c("b_catastrophic_false_approvals")),
+    )
+    warnings = named(
+        ("golden_regressions", c("golden_regressions") > 0),
+        ("adversarial_regressions", c("adversarial_regressions") > 0),
+        ("invalid_rows_increased", invalid("") > invalid("b_")),
+        ("missing_rows_increased", c("missing_rows") > c("b_missing_rows")),
+    )
+    both = both.withColumns({"blocking": blocking, "warnings": warnings})
     verdict = F.when(F.size("blocking") > 0, "BLOCKED").when(F.size("warnings") > 0, "PASS_WITH_WARNINGS").otherwise("PASS")
-    return both.select(verdict.alias("verdict"), F.array_join("blocking", ",").alias("blocking"), F.array_join("warnings", ",").alias("warnings"), (F.col("total") - F.col("b_total")).alias("total_delta"))
+    deltas = [(c(k) - c(f"b_{k}")).alias(f"{k}_delta") for k in ("total", "extraction", "classification", "calibration", "catastrophic_false_approvals")]
+    return both.select(verdict.alias("verdict"), (F.size("blocking") == 0).alias("adopt"), F.array_join("blocking", ",").alias("blocking"), F.array_join("warnings", ",").alias("warnings"), "golden_regressions", "adversarial_regressions", *deltas)
 
 
 def invalid_rows(rows: DataFrame) -> DataFrame:

@@ -82,8 +82,8 @@ def r3_clusters(spark, sf_dir):
     return K.name_clusters(names)
 
 
-_WINNER = f"""WITH {EVIDENCE_SQL}, ok AS (SELECT * FROM ev WHERE NOT correction AND legible AND NOT superseded AND value IS NOT NULL), b AS (SELECT *, min(rank) OVER (PARTITION BY case_id, field_name) AS r FROM ok),
-t AS (SELECT * FROM b WHERE rank = r), u AS (SELECT case_id, field_name FROM t GROUP BY 1, 2 HAVING count(DISTINCT value) = 1)
+_WINNER = f"""WITH {EVIDENCE_SQL}, ok AS (SELECT * FROM ev WHERE legible AND NOT superseded AND value IS NOT NULL), b AS (SELECT *, min(rank) OVER (PARTITION BY case_id, field_name) AS r FROM ok),
+c AS (SELECT *, bool_or(correction) OVER (PARTITION BY case_id, field_name) AS corrected FROM b WHERE rank = r), t AS (SELECT * FROM c WHERE correction OR NOT corrected), u AS (SELECT case_id, field_name FROM t GROUP BY 1, 2 HAVING count(DISTINCT value) = 1)
 SELECT case_id, field_name, value, ocr_confidence, page_index, top FROM (SELECT t.*, row_number() OVER (PARTITION BY t.case_id, t.field_name ORDER BY ocr_confidence DESC, page_index DESC, top DESC) AS rn FROM t JOIN u ON t.case_id = u.case_id AND t.field_name = u.field_name) WHERE rn = 1"""
 
 QUERIES = {

@@ -157,8 +157,7 @@ def a_policy(spark, sf_dir):
 
 
 def a10_assemble(spark, sf_dir):
-    c = cases(spark, sf_dir)
-    return assemble(c, adjudicate(c))
+    return assemble(cases(spark, sf_dir))
 
 
 def _assemble_sql() -> str:
@@ -238,8 +237,7 @@ def _ridge_sql() -> str:
 
 
 def h_recovery(spark, sf_dir):
-    c = cases(spark, sf_dir)
-    rows = adjudicate(c).join(c.select("case_id", heads.arrival_age().alias("age_days"), F.when(F.col("visa_class.state") == "resolved", F.col("visa_class.value")).alias("visa_class")), "case_id")
+    rows = adjudicate(cases(spark, sf_dir), (("age_days", heads.arrival_age()), ("visa_class", F.col("_v_visa_class"))))
     rows = rows.withColumn("confidence", F.pmod(F.col("case_id"), F.lit(50)) / 100)
     rows = rows.withColumn("fee_pages", (F.col("case_id") % 3).cast("int")).withColumn("sponsor_page", F.col("case_id") % 4 == 0).withColumn("other_page", F.col("case_id") % 5 == 0)
     out = heads.recover(rows)

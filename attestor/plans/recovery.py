@@ -65,28 +65,31 @@ def r10(spark, sf_dir):
 def d10(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_orderkey") % 700).alias("rule_id"), "o_orderkey", "o_custkey")
     ids = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("o_custkey"))))
-    k = F.col("o_orderkey") % 4
-    rules = o.groupBy("rule_id").agg(ids(k < 2).alias("tuning"), ids(k == 2).alias("calibration"), ids(k == 1).alias("matched_tuning"), (F.col("rule_id") % 3).alias("false_approvals_before"), (F.col("rule_id") % 4).alias("false_approvals_after"))
-    return V.supported_exceptions(rules).select("rule_id", F.array_join("problems", ",").alias("problems"))
+    k, r = F.col("o_custkey") % 5, F.col("rule_id")
+    rules = o.groupBy("rule_id").agg(ids((r % 5 != 0) & (k < 3)).alias("visible"), ids((k == 1) | (r % 3 == 0) & (k == 4)).alias("heldout"), ids((k == 2) | (r % 7 == 0) & (k == 1)).alias("tuning"))
+    told = {"tuning_split": F.lit("tuning"), "measured_split": F.when(r % 11 == 0, "tuning").otherwise("calibration"), "baseline_false_approvals": r % 3, "candidate_false_approvals": r % 4}
+    return V.supported_exceptions(rules.withColumns(told)).select("rule_id", F.array_join("problems", ",").alias("problems"))
 
 
 _fee = f"CASE WHEN regexp_matches(text, '{vocab.FEE_PHRASES['unpaid']}') THEN 'unpaid' WHEN regexp_matches(text, '{vocab.FEE_PHRASES['unknown']}') THEN 'unknown' END"
 _cue = ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{c}' END" for c, p in V.CUES.items())
-_alone = lambda where: f"(SELECT case_id, field_name, max(value) AS value FROM n WHERE case_id < 2500 AND {where} GROUP BY 1, 2 HAVING count(DISTINCT value) = 1)"
+_alone = lambda where: f"(SELECT case_id, field_name, max(value) AS value FROM n WHERE {where} GROUP BY 1, 2 HAVING count(DISTINCT value) = 1)"
 QUERIES = {"l8_text_cues": l8, "f7_unsafe_pages": f7, "x6_narrative_fee": x6, "x8_first_new": x8, "x14_worst_page": x14, "x17_agreement": x17, "r7_stable_swap": r7, "r10_sponsor_conflict": r10, "d10_exception_support": d10}
 ORACLE = {
     "l8_text_cues": f"WITH {_SQL} SELECT case_id, line_seq, array_to_string(list_sort([x FOR x IN [{_cue}, CASE WHEN struck THEN 'strikethrough' END] IF x IS NOT NULL]), ',') AS cues FROM n",
     "f7_unsafe_pages": f"WITH {_SQL} SELECT case_id, page_index, line_seq FROM n WHERE (case_id, page_index) NOT IN (SELECT (case_id, page_index) FROM n WHERE struck AND confidence > 0.8)",
-    "x6_narrative_fee": f"""WITH {_SQL}, f AS (SELECT *, {_fee} AS fee FROM n WHERE line_seq % 4 = 0), s AS (SELECT * FROM f WHERE fee IS NOT NULL), m AS (SELECT case_id, page_index, min({{'a': line_seq, 'b': fee}}).b AS value FROM s GROUP BY 1, 2)
+    "x6_narrative_fee": f"""WITH {_SQL}, f AS (SELECT *, {_fee} AS fee FROM n), s AS (SELECT * FROM f WHERE fee IS NOT NULL), m AS (SELECT case_id, page_index, min({{'a': line_seq, 'b': fee}}).b AS value FROM s GROUP BY 1, 2)
 SELECT s.case_id, s.page_index, m.value, round(avg(confidence), 6) AS confidence FROM s JOIN m ON s.case_id = m.case_id AND s.page_index = m.page_index AND fee = m.value GROUP BY 1, 2, 3""",
     "x8_first_new": f"""WITH {_SQL}, a AS (SELECT * FROM n WHERE confidence >= 0.5 AND (case_id, field_name, value) NOT IN (SELECT (case_id, field_name, value) FROM n WHERE confidence < 0.2))
 SELECT case_id, field_name, value FROM (SELECT *, row_number() OVER (PARTITION BY case_id, field_name ORDER BY page_index, line_seq, value) AS rn FROM a) WHERE rn = 1""",
     "x14_worst_page": f"""WITH {_SQL}, p AS (SELECT case_id, page_index, median(confidence) AS m FROM n GROUP BY 1, 2 HAVING median(confidence) < 0.5 AND count(CASE WHEN confidence < 0.65 THEN 1 END) >= 4 AND count(*) >= 6)
 SELECT case_id, page_index FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY m, page_index) AS rn FROM p) WHERE rn = 1""",
     "x17_agreement": f"""WITH {_SQL} SELECT a.case_id, a.field_name, a.value FROM {_alone("page_index = 0 AND confidence > 0.3")} a JOIN {_alone("page_index = 1 AND confidence > 0.3")} b ON a.case_id = b.case_id AND a.field_name = b.field_name AND a.value = b.value
-WHERE (a.case_id, a.field_name) NOT IN (SELECT (case_id, field_name) FROM n WHERE case_id < 2500 AND page_index = 2 AND confidence > 0.9)""",
+WHERE (a.case_id, a.field_name) NOT IN (SELECT (case_id, field_name) FROM n WHERE page_index = 2 AND confidence > 0.9)""",
     "r7_stable_swap": f"""WITH {_SQL}, b AS (SELECT DISTINCT case_id, field_name, value FROM n WHERE confidence > 0.1 AND field_name <> 'home_world'), a AS (SELECT DISTINCT case_id, field_name, value FROM n WHERE confidence < 0.9 AND field_name <> 'home_world'),
 d AS ((SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM a)) SELECT DISTINCT case_id FROM n WHERE (confidence > 0.1 OR confidence < 0.9) AND case_id NOT IN (SELECT case_id FROM d)""",
-    "d10_exception_support": """WITH o AS (SELECT o_orderkey % 700 AS rule_id, o_orderkey % 4 AS k, o_custkey FROM orders), r AS (SELECT rule_id, coalesce(list(DISTINCT o_custkey) FILTER (k < 2), []) AS t, coalesce(list(DISTINCT o_custkey) FILTER (k = 2), []) AS c FROM o GROUP BY 1)
-SELECT rule_id, array_to_string([x FOR x IN [CASE WHEN len(t) < 5 THEN 'too_few_tuning_cases' END, CASE WHEN len(c) < 5 THEN 'too_few_calibration_cases' END, CASE WHEN list_has_any(t, c) THEN 'supports_overlap' END, CASE WHEN rule_id % 4 > rule_id % 3 THEN 'more_false_approvals' END] IF x IS NOT NULL], ',') AS problems FROM r""",
+    "d10_exception_support": """WITH o AS (SELECT o_orderkey % 700 AS r, o_custkey % 5 AS k, o_custkey AS c FROM orders), p AS (SELECT DISTINCT r, c, r % 5 <> 0 AND k < 3 AS vis, k = 1 OR (r % 3 = 0 AND k = 4) AS held, k = 2 OR (r % 7 = 0 AND k = 1) AS tun FROM o),
+g AS (SELECT r, bool_or(vis) AS v, count(CASE WHEN held THEN 1 END) AS h, bool_or(held AND NOT vis) AS "out", bool_or(held AND tun) AS "both" FROM p GROUP BY 1)
+SELECT r AS rule_id, array_to_string([x FOR x IN [CASE WHEN NOT v THEN 'no_visible_support' END, CASE WHEN h < 2 THEN 'insufficient_heldout_support' END, CASE WHEN "out" THEN 'heldout_support_not_visible' END,
+  CASE WHEN "both" THEN 'heldout_support_overlaps_tuning' END, CASE WHEN r % 11 = 0 THEN 'measured_on_tuning_split' END, CASE WHEN r % 4 > r % 3 THEN 'more_false_approvals' END] IF x IS NOT NULL], ',') AS problems FROM g""",
 }

@@ -54,11 +54,8 @@ def h5(spark, sf_dir):
 
 
 def _wide(spark, sf_dir):
-    c = P.cases(spark, sf_dir)
-    d = P.adjudicate(c)
-    extra = c.select("case_id", heads.arrival_age().alias("age_days"))
     k = F.col("case_id")
-    rows = P.assemble(c, d).join(d.select("case_id", "denial_reasons", "review_reasons", "approval_facts", F.col("authoritative").alias("authority")), "case_id").join(extra, "case_id")
+    rows = P.assemble(P.cases(spark, sf_dir), "denial_reasons", "review_reasons", "approval_facts", F.col("authoritative").alias("authority"), carry=(("age_days", heads.arrival_age()),))
     return rows.withColumns({"sponsor_second": k % 2 == 0, "visa_second": k % 3 != 0, "applicant_candidates": (k % 8).cast("int"), "explicit_none": k % 2 == 1})
 
 
@@ -98,10 +95,7 @@ def e2(spark, sf_dir):
 
 
 def d5(spark, sf_dir):
-    """Outcome flags of the cases; golden ones are a listed few."""
-    golden = PS._orders(spark, sf_dir, {"case_id": PS.TRUTH["case_id"]}, "o_orderkey % 101 = 0").withColumn("golden", F.lit(True))
-    out = PS.scores(spark, sf_dir).join(golden, "case_id", "left")
-    return out.select("case_id", (F.col("classification_reason") == "correct").alias("correct"), F.coalesce("golden", F.lit(False)).alias("golden"), "classification_reason")
+    return PS.outcomes(spark, sf_dir, PS.scores(spark, sf_dir))
 
 
 _ok = "legible AND NOT superseded"
@@ -149,12 +143,12 @@ SELECT case_id, field_name, CASE WHEN state = 'unknown' AND v2 IS NOT NULL THEN
     "h8_h10_approval_heads": f"""WITH {_WIDE}, r AS (SELECT *, [x FOR x IN review_reasons IF x NOT IN ('clean_biohazard_check_missing', 'required_output_unknown:biohazard_check')] AS left_over FROM w)
 SELECT case_id, coalesce(adjudication = 'NEEDS_REVIEW' AND lower(risk_flags) = 'none' AND NOT authoritative AND (case_id % 8 > 5 OR coalesce(age > 71, false) AND list_contains(approval_facts, 'no_visible_biohazard_risk') OR coalesce(age <= 48, false) AND list_contains(review_reasons, 'required_sponsor_unknown')), false) AS review_approval,
   adjudication = 'NEEDS_REVIEW' AND lower(risk_flags) = 'none' AND visa_class <> 'TRANSIT-7' AND len(denial_reasons) = 0 AND (fee_status = 'paid' AND list_contains(approval_facts, 'fee_paid') OR fee_status = 'waived' AND list_contains(approval_facts, 'valid_fee_waiver')) AND case_id % 2 = 1 AND len(left_over) = 0 AS clean_packet FROM r""",
-    "h14_fee_demotion": f"""WITH {_WIDE}, p AS (SELECT *, (case_id % 100) / 100.0::DOUBLE AS p, adjudication = 'APPROVED' AND (fee_status = 'unknown' OR fee_status_state <> 'resolved') AS hit FROM w)
+    "h14_fee_demotion": f"""WITH {_WIDE}, p AS (SELECT *, (case_id % 100) / 100.0::DOUBLE AS p, adjudication = 'APPROVED' AND fee_status = 'unknown' AS hit FROM w)
 SELECT case_id, CASE WHEN hit THEN 'NEEDS_REVIEW' ELSE adjudication END AS adjudication, round(CASE WHEN hit THEN least(p, 0.45) ELSE p END, 9) AS confidence FROM p""",
     "a6_exceptions": f"""WITH {_WIDE}, h AS (SELECT case_id, 'r1' AS id, 'NEEDS_REVIEW' AS d FROM w WHERE visa_class = 'DIP-1' AND fee_status = 'waived' UNION ALL SELECT case_id, 'r2', 'DENIED' FROM w WHERE fee_status = 'unpaid' UNION ALL SELECT case_id, 'r3', 'NEEDS_REVIEW' FROM w)
 SELECT case_id, string_agg(id, ',' ORDER BY id) AS rule_ids, string_agg(DISTINCT d, ',' ORDER BY d) AS decisions FROM h GROUP BY 1""",
     "c6_c11_statistics_check": "SELECT 'decision' AS level, '' AS key, 'sum' AS problem",
     "e2_truth_index": f"""WITH t AS ({PS._select(PS.TRUTH | {"seq": "o_orderkey"})} UNION ALL {PS._select(PS.TRUTH | {"seq": "o_orderkey + 10000000", "adjudication": "'DENIED'"}, "o_orderkey % 7 = 0")})
 SELECT case_id, arg_max(adjudication, seq) AS adjudication, count(*) AS copies FROM t GROUP BY 1""",
-    "d5_case_outcomes": f"WITH {PS.SCORES} SELECT case_id, reason = 'correct' AS correct, case_id IN (SELECT {PS.TRUTH['case_id']} FROM orders WHERE o_orderkey % 101 = 0) AS golden, reason AS classification_reason FROM sc",
+    "d5_case_outcomes": f"WITH {PS.SCORES}, {PS.OUTCOMES} SELECT * FROM oc",
 }

@@ -13,8 +13,9 @@ TRUTH = {
     "case_id": "'MIB-' || lpad(CAST(o_orderkey % 1000000 AS STRING), 6, '0')",
     "adjudication": "CASE o_orderstatus WHEN 'F' THEN 'APPROVED' WHEN 'O' THEN 'DENIED' ELSE 'NEEDS_REVIEW' END",
     "unrecoverable_fields": "CASE WHEN o_orderkey % 5 = 0 THEN 'Home_World | fee_status' WHEN o_orderkey % 7 = 0 THEN 'none' ELSE '' END",
-    "difficulty": "o_orderpriority",
-    "damage_profile": "CASE WHEN o_custkey % 3 = 0 THEN 'stain' ELSE 'fold' END",
+    "difficulty": "CASE WHEN o_orderkey % 13 = 0 THEN 'Golden' WHEN o_orderkey % 19 = 0 THEN NULL ELSE o_orderpriority END",
+    "damage_profile": "CASE o_custkey % 4 WHEN 0 THEN 'stain' WHEN 1 THEN '' ELSE 'fold' END",
+    "traps": "CASE WHEN o_custkey % 6 = 0 THEN 'qr | bait' WHEN o_custkey % 6 = 1 THEN ' | ' ELSE '' END",
     "applicant_name": "'  Zed   ' || CAST(o_custkey AS STRING)",
     "species_code": "CASE WHEN o_custkey % 2 = 0 THEN 'ORION_GRAYS' ELSE 'TRIANGULAN' END",
     "home_world": "'Kepler-186f'",
@@ -74,7 +75,7 @@ SCORES = f"""
 t0 AS ({_select(TRUTH)}), t AS (SELECT *, [trim(x) FOR x IN string_split({_norm("unrecoverable_fields")}, '|')] AS lost FROM t0),
 s0 AS ({_select(PRED, "o_orderkey % 17 <> 0")} UNION ALL {_select(PRED | {"seq": "o_orderkey + 10000000", "adjudication": "'APPROVED'"}, "o_orderkey % 23 = 0 AND o_orderkey % 17 <> 0")}),
 p AS (SELECT * EXCLUDE (case_id, rn), trim(case_id) AS case_id FROM (SELECT *, row_number() OVER (PARTITION BY trim(case_id) ORDER BY seq) AS rn FROM s0) WHERE rn = 1 AND trim(case_id) <> ''),
-j AS (SELECT t.case_id, p.case_id IS NOT NULL AS present, upper(trim(t.adjudication)) AS ta, upper(trim(coalesce(p.adjudication, ''))) AS pa, t.difficulty, t.damage_profile, p.fee_status AS pf,
+j AS (SELECT t.case_id, p.case_id IS NOT NULL AS present, upper(trim(t.adjudication)) AS ta, upper(trim(coalesce(p.adjudication, ''))) AS pa, t.difficulty, t.damage_profile, t.traps, p.fee_status AS pf,
   CASE WHEN p.case_id IS NULL THEN 0.0::DOUBLE ELSE TRY_CAST(p.confidence AS DOUBLE) END AS cf,
   {" + ".join(f"CASE WHEN {_ok(f)} AND p.case_id IS NOT NULL AND {_match(f)} THEN {W[f]} ELSE 0 END" for f in W)} AS extraction_raw,
   {" + ".join(f"CASE WHEN {_ok(f)} THEN {W[f]} ELSE 0 END" for f in W)} AS extraction_max_raw,
@@ -93,6 +94,8 @@ SUMMARY = """sm AS (SELECT 50 * sum(extraction_raw)::DOUBLE / sum(extraction_max
   20 * greatest(0.0, 1 - 2 * avg(brier)) AS calibration, 10 * count(CASE WHEN NOT present THEN 1 END)::DOUBLE / count(*) AS missing_penalty, count(CASE WHEN catastrophic THEN 1 END) AS catastrophic_false_approvals,
   count(CASE WHEN NOT present THEN 1 END) AS missing_rows, count(CASE WHEN NOT adjudication_valid THEN 1 END) AS invalid_adjudications, count(CASE WHEN NOT confidence_valid THEN 1 END) AS invalid_confidences,
   count(CASE WHEN NOT fee_valid THEN 1 END) AS invalid_fees FROM scores)"""
+OUTCOMES = f"""oc AS (SELECT case_id, reason = 'correct' AS correct, case_id IN (SELECT {TRUTH["case_id"]} FROM orders WHERE o_orderkey % 101 = 0) OR coalesce(lower(difficulty) = 'golden', false) AS golden,
+  case_id IN (SELECT {TRUTH["case_id"]} FROM orders WHERE o_orderkey % 103 = 0) OR len([x FOR x IN string_split(coalesce(traps, ''), '|') IF trim(x) <> '']) > 0 AS adversarial, reason AS classification_reason FROM sc)"""
 SECTIONS = ("extraction", "classification", "calibration", "missing_penalty", "total")
 
 
@@ -126,9 +129,12 @@ def d3_rates(spark, sf_dir):
     return S.field_rates(truth(spark, sf_dir), predictions(spark, sf_dir))
 
 
+def _with_labels(spark, sf_dir, scored):
+    return scored.join(truth(spark, sf_dir).select("case_id", "difficulty", "damage_profile", "traps"), "case_id")
+
+
 def d4_groups(spark, sf_dir):
-    more = truth(spark, sf_dir).select("case_id", "difficulty", "damage_profile")
-    return S.error_groups(scores(spark, sf_dir).join(more, "case_id"), "classification_reason", "difficulty", "damage_profile")
+    return S.error_groups(_with_labels(spark, sf_dir, scores(spark, sf_dir)), "classification_reason", "difficulty", "damage_profile", "traps")
 
 
 def _baseline(spark, sf_dir):
@@ -136,13 +142,37 @@ def _baseline(spark, sf_dir):
     return S.score_cases(truth(spark, sf_dir), predictions(spark, sf_dir).withColumn("adjudication", F.lit("NEEDS_REVIEW")))
 
 
+def listed(spark, sf_dir):
+    """Golden and adversarial cases that a list names."""
+    return _orders(spark, sf_dir, {"case_id": TRUTH["case_id"], "golden": "o_orderkey % 101 = 0", "adversarial": "o_orderkey % 103 = 0"}, "o_orderkey % 101 = 0 OR o_orderkey % 103 = 0")
+
+
+def outcomes(spark, sf_dir, scored):
+    return S.outcomes(_with_labels(spark, sf_dir, scored), listed(spark, sf_dir))
+
+
+#: Reports of the gate's cases: what the candidate's says of its measurement, and which cases it covers.
+GATES = {
+    "sound": ("'release'", "true", "12.5", "300.0", "'offline_run'", "0", "true"),
+    "dishonest": ("'tuning'", "false", "12.5", "300.0", "'offline_run'", "2", "true"),
+    "unmeasured": ("'release'", "true", "CAST(NULL AS DOUBLE)", "0.0", "'official_evaluator_process_only'", "0", "case_id <> 'MIB-000001'"),
+}
+_REPORT = ("split_name", "honest_holdout", "runtime_seconds", "peak_memory_mib", "source", "leakage_findings")
+
+
 def d8_gate(spark, sf_dir):
-    out = S.gate(S.summary(_baseline(spark, sf_dir)), S.summary(scores(spark, sf_dir)))
-    return out.withColumn("total_delta", F.round("total_delta", 6))
+    base, now = _baseline(spark, sf_dir), scores(spark, sf_dir)
+    out = None
+    for name, told in GATES.items():
+        told_of = lambda scored, told: S.summary(scored).withColumns({c: F.expr(e) for c, e in zip(_REPORT, told, strict=False)})
+        row = S.gate(told_of(base, GATES["sound"]), told_of(now, told), outcomes(spark, sf_dir, base), outcomes(spark, sf_dir, now).filter(told[-1]))
+        row = row.select(F.lit(name).alias("name"), *[F.round(c, 6).alias(c) if c.endswith("_delta") else c for c in row.columns])
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def d9_regressions(spark, sf_dir):
-    return S.regressions(_baseline(spark, sf_dir), scores(spark, sf_dir))
+    return S.regressions(outcomes(spark, sf_dir, _baseline(spark, sf_dir)), outcomes(spark, sf_dir, scores(spark, sf_dir)))
 
 
 def f8_validator(spark, sf_dir):
@@ -193,7 +223,11 @@ def c5_apply(spark, sf_dir):
 
 _ISO = f"""g AS (SELECT {SIGNAL["raw_signal"]} AS x, sum(({SIGNAL["correct"]})::INT) AS c, count(*) AS n FROM events GROUP BY 1),
 m AS (SELECT a.x AS lo, b.x AS hi, sum(g.c) / sum(g.n) AS mean FROM g a JOIN g b ON a.x <= b.x JOIN g ON g.x BETWEEN a.x AND b.x GROUP BY 1, 2),
-fit AS (SELECT x, (SELECT max(v) FROM (SELECT lo, min(mean) AS v FROM m WHERE lo <= g.x AND hi >= g.x GROUP BY lo)) AS p FROM g)"""
+fit AS (SELECT x, c / n AS own, (SELECT max(v) FROM (SELECT lo, min(mean) AS v FROM m WHERE lo <= g.x AND hi >= g.x GROUP BY lo)) AS p FROM g)"""
+# A signal begins a step unless some stretch up to the one before it has a greater mean than some stretch from it on; 0 and 1 are added.
+_STEPS = f"""{_ISO}, w AS (SELECT x, p, lag(x) OVER (ORDER BY x) AS prev FROM fit),
+st AS (SELECT x, p FROM w WHERE prev IS NULL OR (SELECT max(mean) FROM m WHERE hi = w.prev) <= (SELECT min(mean) FROM m WHERE lo = w.x)),
+ends AS (SELECT x, p FROM st UNION ALL SELECT 0.0, min(p) FROM st HAVING min(x) > 0 UNION ALL SELECT 1.0, max(p) FROM st HAVING max(x) < 1)"""
 
 QUERIES = {
     "e1_index_submission": e1_index,
@@ -223,14 +257,22 @@ ORACLE = {
     "d1_stratified_split": f"WITH {_SPLIT} SELECT * FROM sp",
     "d2_overlaps": f"WITH {_SPLIT}, u AS (SELECT doc_id, role FROM sp UNION SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'release' ELSE role END FROM sp) SELECT doc_id, min(role) AS a, max(role) AS b FROM u GROUP BY 1 HAVING count(*) > 1",
     "d3_field_rates": f"WITH {SCORES} " + " UNION ALL ".join(f"SELECT '{f}' AS field, count(CASE WHEN hit_{f} THEN 1 END) AS matched, count(CASE WHEN can_{f} THEN 1 END) AS scorable FROM j" for f in W),
-    "d4_error_groups": f"WITH {SCORES} SELECT reason AS classification_reason, difficulty, damage_profile, count(*) AS cases FROM sc WHERE reason <> 'correct' GROUP BY GROUPING SETS ((reason), (difficulty), (damage_profile))",
-    "d8_release_gate": f"""WITH {SCORES}, {SUMMARY}, b AS (WITH {_BASE}, {SUMMARY} SELECT * FROM sm), x AS (SELECT sm.*, b.extraction AS be, b.classification AS bc, b.calibration AS bk, b.catastrophic_false_approvals AS bf,
-  sm.extraction + sm.classification + sm.calibration - sm.missing_penalty AS tot, b.extraction + b.classification + b.calibration - b.missing_penalty AS bt FROM sm, b),
-y AS (SELECT *, array_to_string([v FOR v IN [CASE WHEN catastrophic_false_approvals > bf THEN 'catastrophic_false_approvals_increased' END, CASE WHEN missing_rows > 0 THEN 'missing_rows' END,
-  CASE WHEN invalid_adjudications + invalid_confidences + invalid_fees > 0 THEN 'invalid_rows' END, CASE WHEN tot < bt THEN 'total_score_regressed' END] IF v IS NOT NULL], ',') AS blocking,
-  array_to_string([v FOR v IN [CASE WHEN extraction < be THEN 'extraction_regressed' END, CASE WHEN classification < bc THEN 'classification_regressed' END, CASE WHEN calibration < bk THEN 'calibration_regressed' END] IF v IS NOT NULL], ',') AS warnings FROM x)
-SELECT CASE WHEN blocking <> '' THEN 'BLOCKED' WHEN warnings <> '' THEN 'PASS_WITH_WARNINGS' ELSE 'PASS' END AS verdict, blocking, warnings, round(tot - bt, 6) AS total_delta FROM y""",
-    "d9_regressions": f"WITH {SCORES}, b AS (WITH {_BASE} SELECT case_id FROM sc WHERE reason = 'correct') SELECT reason AS classification_reason, count(*) AS cases FROM sc WHERE reason <> 'correct' AND case_id IN (SELECT case_id FROM b) GROUP BY 1",
-    "c9_isotonic_fit": f"WITH {_ISO} SELECT min(x) AS breakpoint, round(p, 9) AS probability FROM fit GROUP BY p",
+    "d4_error_groups": f"""WITH {SCORES}, g AS (SELECT reason AS classification_reason, CASE WHEN coalesce(difficulty, '') = '' THEN 'unspecified' ELSE difficulty END AS difficulty, CASE WHEN coalesce(damage_profile, '') = '' THEN 'unspecified' ELSE damage_profile END AS damage_profile,
+  CASE WHEN len([x FOR x IN string_split(coalesce(traps, ''), '|') IF trim(x) <> '']) > 0 THEN 'adversarial' ELSE 'non_adversarial' END AS trap_status FROM sc)
+SELECT *, count(*) AS cases FROM g GROUP BY GROUPING SETS ((classification_reason), (difficulty), (damage_profile), (trap_status))""",
+    "d8_release_gate": f"""WITH {SCORES}, {SUMMARY}, {OUTCOMES}, b AS (WITH {_BASE}, {SUMMARY} SELECT * FROM sm), bo AS (WITH {_BASE}, {OUTCOMES} SELECT * FROM oc),
+g(name, split, honest, secs, mib, src, leaks, skip) AS (VALUES ('sound', 'release', true, 12.5, 300.0, 'offline_run', 0, ''), ('dishonest', 'tuning', false, 12.5, 300.0, 'offline_run', 2, ''), ('unmeasured', 'release', true, NULL, 0.0, 'official_evaluator_process_only', 0, 'MIB-000001')),
+rg AS (SELECT g.name, count(CASE WHEN bo.golden THEN 1 END) AS gr, count(CASE WHEN bo.adversarial THEN 1 END) AS ar FROM g LEFT JOIN (SELECT bo.*, oc.case_id AS id FROM bo JOIN oc USING (case_id) WHERE bo.correct AND NOT oc.correct) bo ON bo.id <> g.skip GROUP BY 1),
+x AS (SELECT g.*, rg.gr, rg.ar, sm.*, b.extraction AS be, b.classification AS bc, b.calibration AS bk, b.catastrophic_false_approvals AS bf, b.missing_rows AS bm, b.invalid_adjudications + b.invalid_confidences + b.invalid_fees AS bi,
+  sm.extraction + sm.classification + sm.calibration - sm.missing_penalty AS tot, b.extraction + b.classification + b.calibration - b.missing_penalty AS bt, (SELECT count(*) FROM oc WHERE case_id = g.skip) AS unlike FROM g JOIN rg USING (name), sm, b),
+y AS (SELECT *, array_to_string([v FOR v IN [CASE WHEN NOT honest THEN 'candidate_not_honest_holdout' END, CASE WHEN split <> 'release' THEN 'different_splits' END, CASE WHEN unlike > 0 THEN 'different_cases' END, CASE WHEN secs IS NULL THEN 'missing_measurement:runtime_seconds' END,
+  CASE WHEN coalesce(secs, 0) <= 0 THEN 'runtime_not_measured' END, CASE WHEN mib <= 0 THEN 'memory_not_measured' END, CASE WHEN src = 'official_evaluator_process_only' THEN 'only_evaluator_measured' END, CASE WHEN leaks > 0 THEN 'case_identity_leakage' END,
+  CASE WHEN catastrophic_false_approvals > bf THEN 'catastrophic_false_approvals_increased' END] IF v IS NOT NULL], ',') AS blocking,
+  array_to_string([v FOR v IN [CASE WHEN gr > 0 THEN 'golden_regressions' END, CASE WHEN ar > 0 THEN 'adversarial_regressions' END, CASE WHEN invalid_adjudications + invalid_confidences + invalid_fees > bi THEN 'invalid_rows_increased' END, CASE WHEN missing_rows > bm THEN 'missing_rows_increased' END] IF v IS NOT NULL], ',') AS warnings FROM x)
+SELECT name, CASE WHEN blocking <> '' THEN 'BLOCKED' WHEN warnings <> '' THEN 'PASS_WITH_WARNINGS' ELSE 'PASS' END AS verdict, blocking = '' AS adopt, blocking, warnings, gr AS golden_regressions, ar AS adversarial_regressions, round(tot - bt, 6) AS total_delta,
+  round(extraction - be, 6) AS extraction_delta, round(classification - bc, 6) AS classification_delta, round(calibration - bk, 6) AS calibration_delta, catastrophic_false_approvals - bf AS catastrophic_false_approvals_delta FROM y""",
+    "d9_regressions": f"""WITH {SCORES}, {OUTCOMES}, bo AS (WITH {_BASE}, {OUTCOMES} SELECT * FROM oc), r AS (SELECT bo.* FROM bo JOIN oc USING (case_id) WHERE bo.correct AND NOT oc.correct)
+SELECT 'golden' AS category, case_id FROM r WHERE golden UNION ALL SELECT 'adversarial', case_id FROM r WHERE adversarial""",
+    "c9_isotonic_fit": f"WITH {_STEPS} SELECT x AS breakpoint, round(p, 9) AS probability FROM ends",
     "c5_isotonic_apply": f"WITH {_ISO} SELECT event_id, round(p, 9) AS probability FROM events JOIN fit ON x = {SIGNAL['raw_signal']}",
 }

@@ -93,7 +93,7 @@ def test_policy(spark, change, decision, reason):
 
 def test_assemble_tells_priors_by_state(spark):
     df = spark.createDataFrame([case(1, fee_status=None, species_code=None, home_world="TRAPPIST-1e")], CASE)
-    r = assemble(df, adjudicate(df)).first()
+    r = assemble(df).first()
     assert (r.fee_status, r.fee_status_state, r.species_code, r.risk_flags) == ("paid", "unknown", "TRIANGULAN", "planetary_embargo")
 
 
@@ -159,14 +159,14 @@ def test_ridge_golden(spark):
 def test_isotonic(spark):
     samples = spark.createDataFrame([(0.2, True), (0.4, False), (0.8, True)], "raw_signal double, correct boolean")
     steps = C.fit_isotonic(samples)
-    assert [tuple(r) for r in steps.orderBy("breakpoint").collect()] == [(0.2, 0.5), (0.8, 1.0)]
+    assert [tuple(r) for r in steps.orderBy("breakpoint").collect()] == [(0.0, 0.5), (0.2, 0.5), (0.8, 1.0), (1.0, 1.0)]
     out = C.apply_isotonic(spark.createDataFrame([(0.0,), (0.5,), (0.8,)], "raw_signal double"), steps)
     assert [r.probability for r in out.orderBy("raw_signal").collect()] == [0.5, 0.5, 1.0]
 
 
 def test_isotonic_against_minimax(spark):
     rng = random.Random(5)
-    data = [(rng.randrange(12) / 10, rng.random() < 0.5) for _ in range(80)]
+    data = [(rng.randrange(11) / 10, rng.random() < 0.5) for _ in range(80)]
     fitted = {r.raw_signal: r.probability for r in C.apply_isotonic(spark.createDataFrame(data, "raw_signal double, correct boolean"), C.fit_isotonic(spark.createDataFrame(data, "raw_signal double, correct boolean"))).collect()}
     xs = sorted({x for x, _ in data})
     mean = lambda lo, hi: (lambda v: sum(v) / len(v))([y for x, y in data if lo <= x <= hi])
