@@ -213,7 +213,7 @@ class Scorer:
 
     def __call__(self, batch: pa.RecordBatch, text_col: str) -> np.ndarray:
         out = np.zeros(batch.num_rows)
-        for a, b, texts in text_parts(batch, text_col):
+        for a, b, texts in text_parts(batch, text_col, 2 << 20):
             row, col, val = self.features.rows(texts)
             out[a:b] = 1 / (1 + np.exp(-np.clip(np.bincount(row, self.w[col] * val, b - a) + self.b, -30, 30)))
         return out
