@@ -33,8 +33,8 @@ from .common import chunk_codes, gather, in_batches, scratch, slices, table, tex
 CACHE = 200_000
 TOKENIZER = "word_bpe_49k.json"
 
-#: Bytes of input, as Catalyst estimates them, for which there is a partition at least; and where that stops, as an estimate may be far off.
-PART_BYTES, MOST_PARTS = 256 << 20, 500_000
+#: Bytes of input for which there is a partition at least, and where that stops.
+PART_BYTES, MOST_PARTS = 256 << 20, 100_000
 
 _encoders: dict = {}
 
@@ -152,6 +152,13 @@ def encoder(spec: str) -> ChunkEncoder:
     return _encoders[key]
 
 
+def _input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that df is read from, as Catalyst knows them; of those that it knows nothing of, 0.  Its estimates of what is made of them may be far off."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 60)
+
+
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int | None = 2, group_bytes: int = 16 << 20, page_rows: int = 2_000) -> None:
     """Write (doc_id, part, first, n_tokens, ids) in ascending doc_id order, null first, equal ids by the text's hash.
 
@@ -165,8 +172,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     rows = rows.withColumn("tie", F.xxhash64("text"))
     # equal rows may be many; their number among all rows deals them out, as any order of them is the same
     rows = rows.withColumn("row", F.monotonically_increasing_id())
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // PART_BYTES), MOST_PARTS))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-_input_bytes(docs) // PART_BYTES), MOST_PARTS))
     rows = rows.repartitionByRange(parts, "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     in_batches(rows, _encoding(spec, end_id), "doc_id long, part int, first long, n_tokens int, ids array<int>").write.option("parquet.block.size", group_bytes).option("parquet.page.row.count.limit", page_rows).option("parquet.enable.dictionary", "true").option(
         "compression", "zstd"
