@@ -99,8 +99,11 @@ OUTCOMES = f"""oc AS (SELECT case_id, reason = 'correct' AS correct, case_id IN
 SECTIONS = ("extraction", "classification", "calibration", "missing_penalty", "total")
 
 
-def scores(spark, sf_dir):
-    return S.score_cases(truth(spark, sf_dir), predictions(spark, sf_dir))
+LABELS = ("difficulty", "damage_profile", "traps")
+
+
+def scores(spark, sf_dir, keep=()):
+    return S.score_cases(truth(spark, sf_dir), predictions(spark, sf_dir), keep)
 
 
 def e5_e8(spark, sf_dir):
@@ -134,7 +137,7 @@ def _with_labels(spark, sf_dir, scored):
 
 
 def d4_groups(spark, sf_dir):
-    return S.error_groups(_with_labels(spark, sf_dir, scores(spark, sf_dir)), "classification_reason", "difficulty", "damage_profile", "traps")
+    return S.error_groups(scores(spark, sf_dir, LABELS), "classification_reason", *LABELS)
 
 
 def _baseline(spark, sf_dir):
