@@ -95,7 +95,7 @@ def e2(spark, sf_dir):
 
 
 def d5(spark, sf_dir):
-    return PS.outcomes(spark, sf_dir, PS.scores(spark, sf_dir))
+    return PS.outcomes(spark, sf_dir, PS.scores(spark, sf_dir, PS.LABELS))
 
 
 _ok = "legible AND NOT superseded"

@@ -132,17 +132,13 @@ def d3_rates(spark, sf_dir):
     return S.field_rates(truth(spark, sf_dir), predictions(spark, sf_dir))
 
 
-def _with_labels(spark, sf_dir, scored):
-    return scored.join(truth(spark, sf_dir).select("case_id", "difficulty", "damage_profile", "traps"), "case_id")
-
-
 def d4_groups(spark, sf_dir):
     return S.error_groups(scores(spark, sf_dir, LABELS), "classification_reason", *LABELS)
 
 
 def _baseline(spark, sf_dir):
     """Another submission: all reviews."""
-    return S.score_cases(truth(spark, sf_dir), predictions(spark, sf_dir).withColumn("adjudication", F.lit("NEEDS_REVIEW")))
+    return S.score_cases(truth(spark, sf_dir), predictions(spark, sf_dir).withColumn("adjudication", F.lit("NEEDS_REVIEW")), LABELS)
 
 
 def listed(spark, sf_dir):
@@ -151,7 +147,7 @@ def listed(spark, sf_dir):
 
 
 def outcomes(spark, sf_dir, scored):
-    return S.outcomes(_with_labels(spark, sf_dir, scored), listed(spark, sf_dir))
+    return S.outcomes(scored, listed(spark, sf_dir))
 
 
 #: Reports of the gate's cases: what the candidate's says of its measurement, and which cases it covers.
@@ -164,7 +160,7 @@ _REPORT = ("split_name", "honest_holdout", "runtime_seconds", "peak_memory_mib",
 
 
 def d8_gate(spark, sf_dir):
-    base, now = _baseline(spark, sf_dir), scores(spark, sf_dir)
+    base, now = _baseline(spark, sf_dir), scores(spark, sf_dir, LABELS)
     out = None
     for name, told in GATES.items():
         told_of = lambda scored, told: S.summary(scored).withColumns({c: F.expr(e) for c, e in zip(_REPORT, told, strict=False)})
@@ -175,7 +171,7 @@ def d8_gate(spark, sf_dir):
 
 
 def d9_regressions(spark, sf_dir):
-    return S.regressions(outcomes(spark, sf_dir, _baseline(spark, sf_dir)), outcomes(spark, sf_dir, scores(spark, sf_dir)))
+    return S.regressions(outcomes(spark, sf_dir, _baseline(spark, sf_dir)), outcomes(spark, sf_dir, scores(spark, sf_dir, LABELS)))
 
 
 def f8_validator(spark, sf_dir):

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from helpers import SF, TABLES, assert_same
 
+from attestor.operators import scoring as S
 from attestor.plans import catalog
 
 QUERIES, ORACLE = catalog.queries(), catalog.oracle_sql()
@@ -28,6 +29,13 @@ WHERE b.o_orderkey = (a.o_orderkey + 7 * i) % {n}) TO '{folder}/orders.parquet'
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["d4_error_groups"])
+@pytest.mark.parametrize("name", ["d4_error_groups", "d5_case_outcomes"])
 def test_same_as_sql(spark, repeated, name):
     assert_same(QUERIES[name](spark, repeated), ORACLE[name], repeated)
+
+
+def test_listed_twice(spark):
+    scores = spark.createDataFrame([("a", "correct", None, None), ("a", "wrong_decision", None, None), ("b", "correct", None, None)], "case_id string, classification_reason string, difficulty string, traps string")
+    listed = spark.createDataFrame([("a", True, False), ("a", None, True), ("b", None, None)], "case_id string, golden boolean, adversarial boolean")
+    got = sorted((r.case_id, r.correct, r.golden, r.adversarial) for r in S.outcomes(scores, listed).collect())
+    assert got == [("a", False, True, True), ("a", True, True, True), ("b", True, False, False)]
