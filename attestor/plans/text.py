@@ -58,10 +58,12 @@ def s5_hash(spark, sf_dir):
 
 
 def k1_jsonl(spark, sf_dir):
+    """A line for each case; each field is the least of the case's rows, whatever order they are read in."""
     from attestor.sources.files import canonical_json
 
-    rows = n25_coerce(spark, sf_dir).filter("case_id is not null").dropDuplicates(["case_id"])
-    return canonical_json(rows.select("case_id", "sponsor_id", "arrival_date", "fee_status"), ["case_id", "sponsor_id", "arrival_date", "fee_status"])
+    columns = ["sponsor_id", "arrival_date", "fee_status"]
+    rows = n25_coerce(spark, sf_dir).filter("case_id is not null").groupBy("case_id").agg(*[F.min(c).alias(c) for c in columns])
+    return canonical_json(rows, ["case_id", *columns])
 
 
 _known, _safe = ("(" + ", ".join(f"'{x}'" for x in xs) + ")" for xs in (vocab.KNOWN_FEATURES, vocab.SAFE_SUFFIX_PREFIXES))

@@ -29,7 +29,7 @@ WHERE b.o_orderkey = (a.o_orderkey + 7 * i) % {n}) TO '{folder}/orders.parquet'
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["d4_error_groups", "d5_case_outcomes", "d8_release_gate", "d9_regressions"])
+@pytest.mark.parametrize("name", ["d4_error_groups", "d5_case_outcomes", "d8_release_gate", "d9_regressions", "k1_canonical_jsonl"])
 def test_same_as_sql(spark, repeated, name):
     assert_same(QUERIES[name](spark, repeated), ORACLE[name], repeated)
 
