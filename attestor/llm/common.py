@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
@@ -12,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Words of the size and SimHash contracts: runs of anything but ASCII white space.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -68,8 +71,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": (2000, "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": (8 << 20, "8m")}
 
 
+#: What a worker keeps from task to task, by the module it is for and a key.
+_kept: dict[tuple, object] = {}
+
+
+def kept(module: str, key, make):
+    """make(), once for each worker and key, until a batch function of another module runs in that worker."""
+    if (module, key) not in _kept:
+        _kept[module, key] = make()
+    return _kept[module, key]
+
+
+def let_go(module: str) -> None:
+    """Drop what is kept for other modules: Spark hands a worker from one query to the next, which would hold the former's tables on top of its own."""
+    others = [k for k in _kept if k[0] != module]
+    for k in others:
+        del _kept[k]
+    if others:
+        give_back()
+
+
+def give_back() -> None:
+    """Free memory of Arrow's pool and of the C library goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not glibc
+        pass
+
+
 def in_batches(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow in batches of bounded size; what a task's batches held goes back to the system at its end.
+    """df.mapInArrow in batches of bounded size; what a task's batches held goes back to the system at its end, what other operators kept in the worker at its beginning.
 
     Spark reads the size of batches from the session when the plan runs, so the
     session keeps these settings; lesser ones that it has stay.
@@ -80,15 +112,26 @@ def in_batches(df: DataFrame, run, schema) -> DataFrame:
         if not 0 < now <= most:
             conf.set(key, given)
 
+    module = run.__module__
+
     def bounded(batches):
+        let_go(module)
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return df.mapInArrow(bounded, schema)
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver's as a table.  They go through Arrow: plain lists would start Python workers of another kind in each executor, just to hand them on."""
+    struct = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(struct)
+    columns = zip(*rows, strict=True) if rows else [()] * len(arrow)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow), struct)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, all else as it is.  lower() is the fast way where the text is ASCII throughout."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import space_words, stored, table, unused
+from .common import local_rows, space_words, stored, table, unused
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -161,7 +161,7 @@ def mix(docs: DataFrame, sources: Column, size: Column, id_col: str = "doc_id",
         part = next((x for x in t if 0.5 < x < r["_t"] - 0.5), 0.0)
         own = r["_sources"][0] if len(r["_sources"]) == 1 else None
         plan.append((r["_sources"], whole, float(part), float(goals[own]) if own else None, int(sizes[own]) if own else None))
-    plan_df = few(spark.createDataFrame(plan, "_sources array<string>, _whole int, _part double, _target double, _source_size long"))
+    plan_df = few(local_rows(spark, plan, "_sources array<string>, _whole int, _part double, _target double, _source_size long"))
     by = Window.partitionBy("_sources").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     bins = level1.join(plan_df, "_sources").withColumn("_before", F.coalesce(F.sum("_t").over(by), F.lit(0)))
     edge = bins.filter((F.col("_before") < F.col("_part")) & (F.col("_before") + F.col("_t") >= F.col("_part"))).groupBy("_sources").agg(F.min(F.struct("_b", "_before", "_part")).alias("_e"))

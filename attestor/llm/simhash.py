@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, in_batches, stored, table, unused
+from .common import column, in_batches, local_rows, stored, table, unused
 
 #: Most distinct fingerprints of a bucket that are gathered.
 GROUP = 10_000
@@ -128,7 +128,7 @@ def links(distinct: DataFrame, radius: int = 3, group: int = GROUP) -> DataFrame
         return edges.distinct()
     near, far = radius // 2, radius - radius // 2
     flips = [(i, signed(sum(1 << b for b in c)), n) for i, x in enumerate(every) for n in range(far + 1) for c in combinations([b for b in range(64) if not x >> b & 1], n)]
-    around = F.broadcast(spark.createDataFrame(flips, "m int, flip long, n int"))  # bounded by the masks: some hundreds for each
+    around = F.broadcast(local_rows(spark, flips, "m int, flip long, n int"))  # bounded by the masks: some hundreds for each
     points = dealt.join(large, ["m", "key"]).join(around, "m").select("m", F.col("fp").bitwiseXOR(F.col("flip")).alias("z"), "fp", "n")
     centre = points.filter(F.col("n") <= near).groupBy("m", "z").agg(F.min("fp").alias("rep"))
     met = points.join(centre, ["m", "z"]).filter("fp != rep").select(F.greatest("fp", "rep").alias("u"), F.least("fp", "rep").alias("v"))

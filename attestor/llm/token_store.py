@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunk_codes, gather, in_batches, scratch, slices, table, text_parts
+from .common import chunk_codes, gather, in_batches, kept, scratch, slices, table, text_parts
 
 #: Chunks that a worker keeps the ids of.
 CACHE = 200_000
@@ -36,8 +36,6 @@ TOKENIZER = "word_bpe_49k.json"
 #: Bytes of input for which there is a partition at least, and where that stops.
 PART_BYTES, MOST_PARTS = 256 << 20, 100_000
 
-_encoders: dict = {}
-
 
 def tokenizer_json(name: str = TOKENIZER) -> str:
     """The tokenizer's file as text; name may be a path."""
@@ -146,10 +144,7 @@ class ChunkEncoder:
 
 def encoder(spec: str) -> ChunkEncoder:
     """One for each worker and tokenizer."""
-    key = zlib.crc32(spec.encode())
-    if key not in _encoders:
-        _encoders[key] = ChunkEncoder(spec)
-    return _encoders[key]
+    return kept(__name__, zlib.crc32(spec.encode()), lambda: ChunkEncoder(spec))
 
 
 def _input_bytes(df: DataFrame) -> int:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_codes, in_batches, table, text_parts
+from .common import chunk_codes, in_batches, kept, table, text_parts
 from .token_store import TOKENIZER, tokenizer_json
 
 END = "</w>"
@@ -104,13 +104,8 @@ class Matcher:
         return n
 
 
-_matchers: dict = {}
-
-
 def _matcher(key: str, vocabulary: list[str]) -> Matcher:
-    if key not in _matchers:
-        _matchers[key] = Matcher(vocabulary)
-    return _matchers[key]
+    return kept(__name__, key, lambda: Matcher(vocabulary))
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
